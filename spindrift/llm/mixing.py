@@ -112,19 +112,24 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep
     blocks = blocks.alias("b").join(shards.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source")) & (F.col("b.block") == F.col("s.block")), "left").select("b.source", "b.block", "b.whole", "b.edge", "b.need", "b.rest", "s.shards")
     blocks = stages.save(blocks, "blocks")
 
-    # Documents of the boundary blocks: fit as many as the rest holds, then smaller ones into what is left.
+    # Documents of the boundary blocks: fit as many as the rest holds, then smaller ones into what is
+    # left; once in permuted order and once from the longest down, for where a long one is in the way.
     edge = blocks.where("edge").select("source", "block", "need")
-    inner = docs.alias("d").join(edge.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.block") == F.col("e.block"))).select("d.source", "d.block", "d.h", "d.size", "e.need")
+    inner = docs.alias("d").join(edge.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.block") == F.col("e.block"))).select("d.source", "d.block", "d.target", "d.h", "d.size", "e.need")
     # Rows that repeat (same id and text) share one decision.
-    inner = inner.groupBy("source", "block", "h", "need").agg(F.sum("size").alias("size")).withColumn("got", F.lit(False))
+    inner = inner.groupBy("source", "block", "target", "h", "need").agg(F.sum("size").alias("size")).withColumn("got", F.lit(False))
+    inner = inner.withColumn("way", F.explode(F.array(F.lit(0), F.lit(1))))
+    cell = Window.partitionBy("source", "block", "way")
     for turn in range(4):
-        cell = Window.partitionBy("source", "block")
         fits = ~F.col("got") & (F.col("size") <= F.col("need"))
-        run = F.sum(F.when(fits, F.col("size")).otherwise(0)).over(cell.orderBy(_hash(F.col("h"), turn), "h", "size").rowsBetween(Window.unboundedPreceding, 0))
+        first = F.when((F.col("way") == 0) & F.lit(turn == 0), 0).otherwise(-F.col("size"))
+        run = F.sum(F.when(fits, F.col("size")).otherwise(0)).over(cell.orderBy(first, _hash(F.col("h"), turn), "h").rowsBetween(Window.unboundedPreceding, 0))
         inner = inner.withColumn("run", run).withColumn("now", fits & (F.col("run") <= F.col("need")))
         inner = inner.withColumn("need", F.col("need") - F.coalesce(F.sum(F.when(F.col("now"), F.col("size"))).over(cell), F.lit(0)))
         inner = inner.withColumn("got", F.col("got") | F.col("now"))
-    inner = inner.where("got and size > 0").select("source", "block", "h", F.lit(1).alias("extra"))
+    miss = F.struct(F.floor(F.col("need") / (F.col("target") * 0.005)).alias("miss"), F.col("way"))
+    inner = inner.withColumn("best", F.min(miss).over(Window.partitionBy("source", "block")))
+    inner = inner.where("way = best.way and got and size > 0").select("source", "block", "h", F.lit(1).alias("extra"))
 
     out = docs.alias("d").join(blocks.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
     out = out.select("d.*", "b.whole", F.col("b.rest").alias("rest_b"), "b.shards")

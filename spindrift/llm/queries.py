@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import mixing, secrets
+from spindrift.llm import minhash, mixing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, share=80, of=100)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
@@ -27,7 +31,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan}
+    return {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
