@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import minhash, mixing, secrets
+from spindrift.llm import minhash, mixing, pages, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan}
+    return {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan, "op10_html_extract": op10_html_extract}
 
 
 def oracle_sql() -> dict[str, str]:
