@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import minhash, mixing, pages, pieces, quality, secrets
+from spindrift.llm import brown, minhash, mixing, pages, pieces, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents, quality.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
@@ -44,7 +48,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op5_sentencepiece": op5_sentencepiece, "op6_quality": op6_quality, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan, "op10_html_extract": op10_html_extract}
+    return {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op5_sentencepiece": op5_sentencepiece, "op6_quality": op6_quality, "op7_brown_lm": op7_brown_lm, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan, "op10_html_extract": op10_html_extract}
 
 
 def oracle_sql() -> dict[str, str]:
