@@ -13,8 +13,14 @@ def depth_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
     n = len(symbols)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    have = 1
+    if depth >= 4 and n >= 4 and symbols.max() < 1 << 15:
+        # Four symbols at once to begin with.
+        packed = np.zeros(n, dtype=np.int64)
+        for i in range(4):
+            packed[: n - i] |= (symbols[i:] + 1) << np.int64(16 * (3 - i))
+        rank, have = np.unique(packed, return_inverse=True)[1].astype(np.int64), 4
+    else:
+        rank, have = np.unique(symbols, return_inverse=True)[1].astype(np.int64), 1
     while have < depth:
         step = min(have, depth - have)
         later = np.full(n, -1, dtype=np.int64)
