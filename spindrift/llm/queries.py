@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import brown, minhash, mixing, pages, pieces, quality, secrets, suffix_dedup
+from spindrift.llm import ann, brown, minhash, mixing, pages, pieces, pq, quality, secrets, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,18 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, share=80, of=100)
 
 
+def op2_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=20, top=20)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,19 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op5_sentencepiece": op5_sentencepiece, "op6_quality": op6_quality, "op7_brown_lm": op7_brown_lm, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan, "op10_html_extract": op10_html_extract}
+    every = [
+        op1_minhash_near_dedup,
+        op2_ann_search,
+        op3_suffix_dedup,
+        op4_embedding_near_dedup,
+        op5_sentencepiece,
+        op6_quality,
+        op7_brown_lm,
+        op8_mix_sources,
+        op9_secret_scan,
+        op10_html_extract,
+    ]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
