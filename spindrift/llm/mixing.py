@@ -84,7 +84,7 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep
     """
     spark = documents.sparkSession
     stages = stages or Stages(spark, "mixing")
-    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash(F.col("doc_id"), F.col("text"), SEED).alias("h"), *keep)
+    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash(F.col("doc_id"), F.col("text"), SEED).alias("h"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     sized = stages.save(sized, "sized")
 
     targets = source_targets(sized.select("source", "size"), weights)
@@ -143,13 +143,14 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep
         n.cast("int").alias("copies"),
         (n * F.col("d.size")).cast("long").alias("taken"),
         F.slice(F.coalesce(F.col("d.shards"), F.array().cast("array<int>")), F.lit(1), n.cast("int")).alias("shards"),
-        *[F.col(f"d.{c}") for c in keep],
+        *[F.col(f"d.keep_{i}").alias(c) for i, c in enumerate(keep)],
     )
 
 
 def draw_rows(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The mix itself: each document as often as it is taken, shards in order, shuffled within a shard."""
+    """The mix itself: each document as often as it is taken, shard by shard, shuffled within a shard."""
     cols = documents.columns
-    mixed = mix_sources(documents, weights, keep=tuple(c for c in cols if c not in ("doc_id",)))
-    rows = mixed.withColumn("shard", F.explode("shards")).where("copies > 0")
-    return rows.select(*cols, "shard").repartition("shard", _hash(F.col("doc_id"), SEED)).sortWithinPartitions("shard", _hash(F.col("doc_id"), F.col("shard"), SEED))
+    mixed = mix_sources(documents, weights, keep=tuple(c for c in cols if c != "doc_id"))
+    rows = mixed.where("copies > 0").withColumn("shard_", F.explode("shards"))
+    place = _hash(F.col("doc_id"), F.col("shard_"), SEED)
+    return rows.repartition("shard_", place).sortWithinPartitions("shard_", place).select(*cols)
