@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,8 +34,15 @@ class Stages:
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._stage_path = path
+        del df
+        self.release()
         return out
 
+    def release(self) -> None:
+        """Let go of the shuffle files of what is written: Spark deletes them when the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
