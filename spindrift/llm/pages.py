@@ -218,11 +218,13 @@ def extract_main_text(pages: DataFrame, stages: Stages | None = None) -> DataFra
     parsed = html.mapInArrow(_parse, f"page_id {page_type}, url string, host string, blocks array<string>, main array<boolean>")
     parsed = stages.save(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
 
-    # What tells a page's content: its article or else its longest block.
+    # What tells a page's content: its longest block.
     longest = F.aggregate("blocks", F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
-    body = F.when(F.exists("main", lambda x: x), F.array_join(F.filter("blocks", lambda b, i: F.element_at(F.col("main"), i + 1)), "\n")).otherwise(longest)
-    open_pages = parsed.where(F.exists("main", lambda x: ~x)).select("row", "host", F.xxhash64(body).alias("sign"), F.posexplode("blocks").alias("block", "text"), "main")
-    open_blocks = stages.save(open_pages.where(~F.element_at("main", F.col("block") + 1)).select("row", "host", "sign", "block", "text"), "open")
+    has_main = F.exists("main", lambda x: x)
+    # Beside an article, blocks that nothing names are not the page's text; only pages without one are in question.
+    undecided = parsed.where(~has_main & (F.size("blocks") > 0))
+    open_blocks = undecided.select("row", "host", F.xxhash64(longest).alias("sign"), F.posexplode("blocks").alias("block", "text"))
+    open_blocks = stages.save(open_blocks, "open")
     per_host = open_blocks.groupBy("host", "row").agg(F.lit(1).alias("one")).groupBy("host").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
     sharded = open_blocks.join(per_host, "host").withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")))
     runs = sharded.select("row", "host", "sign", "block", "text", "shard").groupBy("host", "shard").applyInPandas(
@@ -230,7 +232,7 @@ def extract_main_text(pages: DataFrame, stages: Stages | None = None) -> DataFra
     )
     runs = stages.save(runs, "runs")
     # Windows that are unique in their shard but repeat in another shard of the host.
-    single = runs.join(parsed.select("row", "host"), "row").select("host", "row", "block", "sign", F.explode(F.arrays_zip("at", "windows")).alias("w"))
+    single = runs.join(undecided.select("row", "host"), "row").select("host", "row", "block", "sign", F.explode(F.arrays_zip("at", "windows")).alias("w"))
     single = single.select("host", "row", "block", "sign", F.col("w.at").alias("at"), F.col("w.windows").alias("h"))
     across = single.groupBy("host", "h").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi")).where("lo <> hi").select("host", "h")
     across = single.join(across, ["host", "h"]).groupBy("row", "block").agg(F.collect_set("at").alias("also"))
@@ -240,12 +242,10 @@ def extract_main_text(pages: DataFrame, stages: Stages | None = None) -> DataFra
     def kept(text, i):
         lost = F.element_at("gone", i)
         rest = F.array_join(F.filter(F.split(text, " "), lambda w, k: ~F.array_contains(lost, k)), " ")
-        return F.when(F.element_at("main", i + 1) | F.col("gone").isNull() | (F.size(lost) == 0), text).otherwise(rest)
+        return F.when(F.col("gone").isNull() | (F.size(lost) == 0), text).otherwise(rest)
 
-    out = parsed.join(gone, "row", "left")
-    # Beside an article, blocks that nothing names are not its text.
-    has_main = F.exists("main", lambda x: x)
-    own = F.filter("blocks", lambda b, i: F.element_at("main", i + 1))
-    free = F.filter(F.transform("blocks", lambda b, i: kept(b, i)), lambda b: b != "")
-    text = F.array_join(F.when(has_main, own).otherwise(free), "\n")
-    return out.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    decided = parsed.where(has_main | (F.size("blocks") == 0))
+    decided = decided.select("page_id", "url", F.array_join(F.filter("blocks", lambda b, i: F.element_at("main", i + 1)), "\n").alias("text"))
+    free = undecided.join(gone, "row", "left")
+    free = free.select("page_id", "url", F.array_join(F.filter(F.transform("blocks", kept), lambda b: b != ""), "\n").alias("text"))
+    return decided.union(free).withColumn("n_chars", F.length("text").cast("long"))
