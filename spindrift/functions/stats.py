@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from spindrift.functions.ranks import average_ranks, running_totals
 
 
+def _corr(a: str, b: str) -> Column:
+    """``corr`` without its error on a constant column."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def correlations(df: DataFrame, a: str, b: str, by: str) -> DataFrame:
     """Pearson and Spearman correlation by group; null for under two rows or a constant column."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(by, a, b)
@@ -20,7 +25,7 @@ def correlations(df: DataFrame, a: str, b: str, by: str) -> DataFrame:
     rb = average_ranks(pairs, b, (by,)).select(by, F.col("value").alias(b), F.col("rank").alias("rank_b"))
     ranked = pairs.join(ra, [by, a]).join(rb, [by, b])
     return ranked.groupBy(by).agg(
-        F.count("*").alias("n"), F.when(guard, F.corr(a, b)).alias("pearson"), F.when(guard, F.corr("rank_a", "rank_b")).alias("spearman"),
+        F.count("*").alias("n"), F.when(guard, _corr(a, b)).alias("pearson"), F.when(guard, _corr("rank_a", "rank_b")).alias("spearman"),
         F.round(F.avg(a), 4).alias("mean_a"), F.round(F.stddev_samp(a), 4).alias("std_a"), F.round(F.avg(b), 4).alias("mean_b"), F.round(F.stddev_samp(b), 4).alias("std_b"),
     )
 
