@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import ann, brown, minhash, mixing, pages, pieces, pq, quality, secrets, suffix_dedup
+from spindrift.llm import ann, brown, minhash, mixing, oracles, pages, pieces, pq, quality, secrets, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_minhash_near_dedup": oracles.OP1, "op4_embedding_near_dedup": oracles.OP4, "op9_secret_scan": oracles.OP9}
