@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import masks, text
 from spindrift.operators.cleaning import with_missing
+from spindrift.sources.stage import Stages
 
 COLUMNS = ("review_url", "user_url", "game_id", "game_name", "review_lang", "review_text", "perspective_score", "detoxify_score", "sentiment_score", "topic")
 
@@ -74,14 +75,16 @@ def pick(df: DataFrame, n: int, toxic: bool | None = None, venn: str | None = No
 def with_context(sample: DataFrame, games: DataFrame | None = None, sentiment: DataFrame | None = None, topics: DataFrame | None = None) -> DataFrame:
     """A sample with game names, sentiment and topics; a source that is missing gives nulls.
 
-    The sample is small: the large tables are first cut to its keys, then joined.
+    The sample is written first, so that it is picked once and its size is known: the large tables
+    are cut to its keys (by broadcast while it is small), then joined.
     """
+    sample = Stages(sample.sparkSession, "examples").save(sample, "sample")
     out = sample
     if games is not None:
         out = out.join(games.select("game_id", F.col("title").alias("game_name")), "game_id", "left")
     for source, column in ((sentiment, "sentiment_score"), (topics, "topic")):
         if source is not None:
-            own = source.join(F.broadcast(sample.select("review_url").distinct()), "review_url", "left_semi").select("review_url", column)
+            own = source.join(sample.select("review_url"), "review_url", "left_semi").select("review_url", column)
             out = out.drop(column).join(own, "review_url", "left")
     out = with_missing(out, {"game_name": "string", "sentiment_score": "double", "topic": "int"})
     return out.withColumn("review_text", text.clean_for_examples(F.col("review_text"))).select(*[c for c in COLUMNS if c in out.columns])
