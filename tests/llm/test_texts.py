@@ -218,3 +218,19 @@ def test_repeated_runs_of_a_host_go_where_markup_is_silent(spark):
     rows.append((9, "http://other/x", f"<body><p>{line}</p></body>"))
     got = {r.page_id: r.text for r in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(line not in got[i] and f"number {i}" in got[i] for i in range(3)) and got[9] == line
+
+
+@pytest.mark.parametrize("name", ["op1_minhash_near_dedup", "op4_embedding_near_dedup", "op9_secret_scan"])
+def test_query_equals_sql(spark, sf_dir, name):
+    import duckdb
+
+    from spindrift.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    cur = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in cur.description]
+    got = queries.queries()[name](spark, sf_dir)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(cur.fetchall())
