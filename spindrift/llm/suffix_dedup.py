@@ -11,7 +11,9 @@ an anchor occurrence.  Of these runs only hashes are shuffled:
    for each string, the previous and the next smaller position and so its longest previous factor
    (and, from behind, whether it comes again).
 3. An anchor with more than SHARD kinds of context is dealt to several shards.  Each shard hands on
-   the first of its equal strings, and these are compared across shards by hash.
+   the first of its equal strings, and these are compared across shards by hash: STEP strings at
+   neighbouring places first by the bytes that all of them hold, and one by one only where that
+   core comes again.
 
 ``keep_first`` removes later copies only (first by doc_id, then by the text's hash, then by place);
 else every copy goes.
@@ -38,6 +40,7 @@ from spindrift.sources.stage import Stages
 LENGTH, GRAM = 400, 200
 #: Kinds of context of one anchor in a shard, and bytes of contexts that one suffix order spans, about.
 SHARD, BUFFER = 256, 1 << 21
+STEP = 16
 PLACE = np.uint64((1 << 24) - 1)
 SEGMENT = 1 << 22
 
@@ -122,9 +125,11 @@ def _cut_contexts(length: int):
     return run
 
 
-def _shard_matches(length: int, keep_first: bool):
+def _shard_matches(length: int, gram: int, keep_first: bool):
     """Contexts, by anchor and shard and in order of position, to the strings that have a match in their shard."""
 
+    window = length - gram + 1
+
     def work(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
         sizes = np.array([len(r[6]) for r in rows], dtype=np.int64)
         # A symbol of its own after each context keeps strings from crossing.
@@ -142,24 +147,36 @@ def _shard_matches(length: int, keep_first: bool):
         earlier, later = suffixes.factor_matches(symbols, length, starts)
         found = earlier if keep_first else earlier | later
         pre = hashing.prefix(data)
-        flat = (begins - np.arange(len(rows)))[owner] + place
+        flat_begin = begins - np.arange(len(rows))
+        flat = flat_begin[owner] + place
         hashes = hashing.range_hash(pre, flat, flat + length).view(np.int64)
         cut = np.concatenate([[0], np.cumsum(counts)])
-        spans, at, windows, done = [], [], [], []
+        spans, groups = [], []
         for i, (_, _, lo, _, n, kinds, *_) in enumerate(rows):
             own = found[cut[i] : cut[i + 1]]
             if n > 1 and not keep_first:
                 own = np.ones(len(own), dtype=bool)
             edge = np.flatnonzero(np.diff(np.r_[False, own, False]))
             spans.append([{"a": lo + int(x), "b": lo + int(y) - 1 + length} for x, y in zip(edge[::2], edge[1::2], strict=True)])
-            split = np.flatnonzero(~earlier[cut[i] : cut[i + 1]]) if kinds > SHARD else np.zeros(0, np.int64)
-            at.append((split + lo).tolist())
-            windows.append(hashes[cut[i] : cut[i + 1]][split].tolist())
-            done.append(own[split].tolist())
+            mine = []
+            if kinds > SHARD:
+                begin = int(flat_begin[i])
+                grams = hashing.range_hash(pre, begin + np.arange(window), begin + np.arange(window) + gram) & ~PLACE
+                anchor = window - 1 - int(grams[::-1].argmin())
+                first = np.flatnonzero(~earlier[cut[i] : cut[i + 1]])
+                step = (anchor - first) // STEP
+                for b in np.unique(step):
+                    part = first[step == b]
+                    # Starts anchor - STEP * b - (0 .. STEP - 1): what all of these strings hold.
+                    left, right = begin + anchor - STEP * b, begin + anchor - STEP * (b + 1) + 1 + length
+                    core = hashing.range_hash(pre, np.array([left]), np.array([right])).view(np.int64)[0]
+                    mine.append({"core": int(core) ^ int(b), "at": (part + lo).tolist(), "windows": hashes[cut[i] + part].tolist(), "done": own[part].tolist()})
+            groups.append(mine)
         span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        group = pa.list_(pa.struct([("core", pa.int64()), ("at", pa.list_(pa.int32())), ("windows", pa.list_(pa.int64())), ("done", pa.list_(pa.bool_()))]))
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array(spans, span), pa.array(at, pa.list_(pa.int32())), pa.array(windows, pa.list_(pa.int64())), pa.array(done, pa.list_(pa.bool_()))],
-            names=["doc_id", "k", "h", "spans", "at", "windows", "done"],
+            [pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array(spans, span), pa.array(groups, group)],
+            names=["doc_id", "k", "h", "spans", "groups"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +234,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     runs = stages.save(runs, "runs")
 
     again = runs.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    # A table of its own, so that a hot anchor's partition of the join can be split.
+    again = stages.save(again, "again")
     repeated = stages.save(runs.join(again, "h"), "repeated")
     stages.drop(runs)
     kinds = repeated.groupBy("h", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "lo", "hi")).alias("r"))
@@ -237,15 +256,20 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     cut = t.join(w, same).select("t.doc_id", "t.k", "t.text", "w.wanted").mapInArrow(_cut_contexts(length), f"doc_id {kind}, k long, lo int, h long, n long, kinds long, piece binary")
     shards = F.ceil(F.col("kinds") / SHARD).cast("long")
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "k", "lo"), shards))
-    cut = cut.repartition("h", "shard").sortWithinPartitions("h", "shard", "doc_id", "k", "lo")
+    # By number, as suffix orders take long for their few bytes and small partitions would be put together.
+    n_parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut.repartition(n_parts, "h", "shard").sortWithinPartitions("h", "shard", "doc_id", "k", "lo")
     matched = cut.select("doc_id", "k", "lo", "h", "n", "kinds", "piece", "shard").mapInArrow(
-        _shard_matches(length, keep_first), f"doc_id {kind}, k long, h long, spans array<struct<a:int,b:int>>, at array<int>, windows array<long>, done array<boolean>"
+        _shard_matches(length, gram, keep_first), f"doc_id {kind}, k long, h long, spans array<struct<a:int,b:int>>, groups array<struct<core:long,at:array<int>,windows:array<long>,done:array<boolean>>>"
     )
     matched = stages.save(matched, "matched")
     inner = matched.select("doc_id", "k", F.explode("spans").alias("s")).select("doc_id", "k", "s.a", "s.b")
 
     # First strings of the shards of one anchor, across its shards.
-    firsts = matched.where("size(at) > 0").select("doc_id", "k", "h", F.explode(F.arrays_zip("at", "windows", "done")).alias("x")).select("doc_id", "k", "h", "x.*")
+    cores = matched.select("doc_id", "k", "h", F.explode("groups").alias("g")).select("doc_id", "k", "h", "g.*")
+    again = cores.groupBy("h", "core").agg(F.count("*").alias("n")).where("n > 1").select("h", "core")
+    firsts = cores.join(again, ["h", "core"]).select("doc_id", "k", "h", F.explode(F.arrays_zip("at", "windows", "done")).alias("x")).select("doc_id", "k", "h", "x.*")
+    firsts = stages.save(firsts, "firsts")
     shared = firsts.groupBy("h", "windows").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "at")).alias("first")).where("n > 1")
     across = firsts.where("not done").join(shared, ["h", "windows"])
     if keep_first:
