@@ -79,11 +79,16 @@ def block_top(top: int):
                 lower = value - error
                 sure = np.partition(lower, len(x) - top, axis=1)[:, len(x) - top] if len(x) > top else np.full(len(lower), -np.inf)
                 need = np.maximum(sure, floor[part])
-                row, col = np.nonzero((value + error >= need[:, None]) & (value > -np.inf))
-                exact = np.empty(len(row))
-                for b in range(0, len(row), 1 << 17):
-                    s = slice(b, b + (1 << 17))
-                    exact[s] = np.einsum("ij,ij->i", q[part][row[s]], x[col[s]])
+                maybe = (value + error >= need[:, None]) & (value > -np.inf)
+                if maybe.sum() * 16 > maybe.size:  # many to rerank: one matrix product is cheaper than rows one by one
+                    exact = np.where(maybe, q[part] @ x.T, -np.inf)
+                else:
+                    row, col = np.nonzero(maybe)
+                    exact = np.full(maybe.shape, -np.inf)
+                    exact[row, col] = np.einsum("ij,ij->i", q[part][row], x[col])
+                last = np.partition(exact, len(x) - top, axis=1)[:, len(x) - top] if len(x) > top else np.full(len(exact), -np.inf)
+                row, col = np.nonzero((exact >= last[:, None]) & maybe)
+                exact = exact[row, col]
                 order = np.lexsort((ids[col], -exact, row))
                 row, col, exact = row[order], col[order], exact[order]
                 place = np.arange(len(row)) - np.searchsorted(row, row)
