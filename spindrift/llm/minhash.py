@@ -6,9 +6,11 @@
    two sketches that share enough values share one among the first few of each (prefix filter),
    and values that no other sketch holds count as misses at once.
 3. A list is not expanded into pairs.  Each one has a centre (its smallest class), and all members
-   are compared with it; links are contracted to components; members outside the centre's
-   component are then compared with the whole list, a growing number of them a round.  A pair
-   within one component needs no comparison: its link could join nothing new.
+   are compared with it; links are contracted to components.  Then members outside the centre's
+   component are compared with the whole list.  In lists of at most SHORT members these pairs are
+   formed; longer ones are taken together by centre and compared block by block on full sets, a
+   growing number of outside members a round.  A pair within one component needs no comparison: its
+   link could join nothing new.
 4. The union of two sketches estimates the similarity; pairs that are below the threshold by more
    than SIGMAS standard deviations go.
 5. The rest is verified on full sets.
@@ -35,8 +37,12 @@ from spindrift.sources.stage import Stages
 
 #: Retained values of a sketch, and how many standard deviations an estimate may be off.
 K, SIGMAS = 64, 5.0
+#: Members of a list whose pairs are formed, at most.
+SHORT = 32
 #: Members outside a centre's component that are compared with a whole list in the first such round.
-PIVOTS = 16
+PIVOTS = 256
+#: Of those, and of a list's members, in a block.
+PIVOT_BLOCK, MEMBER_BLOCK = 256, 1024
 
 
 def _as_long(x: np.ndarray) -> np.ndarray:
@@ -79,7 +85,7 @@ def _full(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, sets in shingle_sets(batch, width):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), _lists(sets)], names=["rep", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), _lists(sets), batch.column("n_shingles").slice(a, b - a)], names=["rep", "items", "n_shingles"])
 
     return run
 
@@ -104,6 +110,38 @@ def _verify(share: int, of: int):
     return run
 
 
+def _block_links(share: int, of: int):
+    """Rows sorted by block, its pivots before its members: links between a pivot and members of other components, one for each component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        pivots: list[tuple[int, int, np.ndarray]] = []
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("centre", "block", "part", "kind")], axis=1)
+            rep, comp = batch.column("rep").to_numpy(), batch.column("comp").to_numpy()
+            items = batch.column("items")
+            offsets, values = items.offsets.to_numpy().astype(np.int64), items.values.to_numpy()
+            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+            found: list[tuple[int, int]] = []
+            for a, b in zip(edge.tolist(), np.append(edge[1:], len(key)).tolist(), strict=True):
+                if tuple(key[a, :3]) != last:
+                    last, pivots = tuple(key[a, :3]), []
+                if key[a, 3] == 0:
+                    pivots += [(int(rep[i]), int(comp[i]), values[offsets[i] : offsets[i + 1]].copy()) for i in range(a, b)]
+                    continue
+                flat, at = values[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                size = np.diff(at)
+                for p_rep, p_comp, own in pivots:
+                    near = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    both = np.diff(np.concatenate([[0], np.cumsum(own[near] == flat)])[at])
+                    hit = np.flatnonzero((of * both >= share * (size + len(own) - both)) & (comp[a:b] != p_comp))
+                    _, one = np.unique(comp[a:b][hit], return_index=True)
+                    found += [(p_rep, int(rep[a + i])) for i in hit[one]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _slack(k: int, share: int, of: int) -> int:
     """Fewest values that two sketches of k share when the sets' similarity is share / of (SIGMAS below the mean)."""
     p = share / of
@@ -113,8 +151,8 @@ def _slack(k: int, share: int, of: int) -> int:
 class _Links:
     """Candidate pairs to verified links: the sketches and the full sets of the classes in question."""
 
-    def __init__(self, sketches: DataFrame, sets: DataFrame, k: int, share: int, of: int):
-        self.sketches, self.sets, self.k, self.share, self.of = sketches, sets, k, share, of
+    def __init__(self, sketches: DataFrame, sets: DataFrame, k: int, share: int, of: int, stages: Stages):
+        self.sketches, self.sets, self.k, self.share, self.of, self.stages = sketches, sets, k, share, of, stages
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         left = self.sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
@@ -125,10 +163,13 @@ class _Links:
         size = F.size(union)
         # A union of fewer than k values is the whole union: its count is exact.
         least = F.when(size < self.k, F.ceil(size * p - 1e-9)).otherwise(_slack(self.k, self.share, self.of))
-        near = pairs.join(left, "a").join(right, "b").where(both >= least).select("a", "b")
+        near = self.stages.save(pairs.join(left, "a").join(right, "b").where(both >= least).select("a", "b"), "near")
         full = near.join(self.sets.select(F.col("rep").alias("a"), F.col("items").alias("left")), "a")
         full = full.join(self.sets.select(F.col("rep").alias("b"), F.col("items").alias("right")), "b")
-        return full.select("a", "b", "left", "right").mapInArrow(_verify(self.share, self.of), "a long, b long")
+        links = full.select("a", "b", "left", "right").mapInArrow(_verify(self.share, self.of), "a long, b long")
+        links = self.stages.save(links, "links")
+        self.stages.drop(near)
+        return links
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, share: int = 80, of: int = 100, k: int = K, stages: Stages | None = None) -> DataFrame:
@@ -146,13 +187,18 @@ def near_duplicates(documents: DataFrame, width: int = 5, share: int = 80, of: i
     classes = usable.groupBy(*key).agg(F.min(F.struct("doc_id", "row")).alias("r")).select(*key, F.col("r.doc_id").alias("rep"), F.col("r.row").alias("row"))
     classes = stages.save(classes, "classes")
     # One row for each class; of classes that share an id (a doc_id that repeats with other texts), the first row's.
-    reps = feat.join(classes.groupBy("rep").agg(F.min("row").alias("row")), "row").select("rep", "n_shingles", "sketch")
+    reps = feat.join(classes.groupBy("rep").agg(F.min("row").alias("row")), "row").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch")
     reps = stages.save(reps, "reps")
+    ids = stages.save(feat.select("doc_id", *key), "ids")
+    stages.drop(feat)
 
     # Retained values that two classes or more hold, from the rarest; how many of them a partner must meet.
-    values = reps.select("rep", "n_shingles", F.size("sketch").alias("m"), F.explode("sketch").alias("h"))
-    held = values.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    shared = values.join(held, "h").groupBy("rep", "n_shingles", "m").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order"))
+    values = reps.select("rep", F.explode("sketch").alias("h"))
+    held = values.groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    # Tables of their own, so that a frequent value's partition of the join can be split.
+    held = stages.save(held, "held")
+    shared = values.join(held, "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order"))
+    shared = shared.join(reps.select("rep", "n_shingles", F.size("sketch").alias("m")), "rep")
     p = share / of
     # Sets that can only have partners whose sketch is the whole set need ceil(p * n) shared values exactly.
     least = F.when(F.col("n_shingles") <= F.floor(F.lit(k * p)), F.ceil(F.col("n_shingles") * p - 1e-9)).otherwise(_slack(k, share, of))
@@ -160,49 +206,74 @@ def near_duplicates(documents: DataFrame, width: int = 5, share: int = 80, of: i
     prefix = shared.select("rep", "n_shingles", F.explode(F.slice("order", F.lit(1), reach.cast("int"))["h"]).alias("h"))
     prefix = stages.save(prefix, "prefix")
     lists = prefix.groupBy("h").agg(F.count("*").alias("df"), F.min("rep").alias("centre")).where("df > 1")
-    members = stages.save(prefix.join(lists, "h").select("h", "rep", "n_shingles", "centre"), "members")
-    wanted = members.select("rep").distinct()
-    sketches = stages.save(reps.join(wanted, "rep", "left_semi").select("rep", "sketch"), "wanted")
-    sets = texts.join(wanted, texts["doc_id"] == wanted["rep"], "left_semi").mapInArrow(_full(width), "rep long, items array<long>")
-    sets = stages.save(sets.join(reps.select("rep", "n_shingles"), "rep").where(F.size("items") == F.col("n_shingles")).dropDuplicates(["rep"]).select("rep", "items"), "sets")
-    linked = _Links(sketches, sets, k, share, of)
+    lists = stages.save(lists, "lists")
+    listed = stages.save(prefix.join(lists, "h").select("h", "df", "centre", "rep", "n_shingles"), "listed")
+    stages.drop(prefix, lists)
+    wanted = stages.save(listed.select("rep", "n_shingles").distinct(), "wanted")
+    members = stages.save(listed.where(F.col("df") > SHORT).select("centre", "rep").distinct(), "members")
+    sketches = stages.save(reps.join(wanted, "rep", "left_semi").select("rep", "sketch"), "wanted_sketches")
+    # Rows that repeat go where the join has put them side by side, so the texts are shuffled once.
+    own = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("doc_id", "text", "n_shingles").dropDuplicates(["doc_id", "text"])
+    sets = stages.save(own.mapInArrow(_full(width), "rep long, items array<long>, n_shingles long").where(F.size("items") == F.col("n_shingles")).select("rep", "items"), "sets")
+    linked = _Links(sketches, sets, k, share, of, stages)
 
     def can_link(x: str, y: str):
         return (F.col(x) * of >= F.col(y) * share) & (F.col(y) * of >= F.col(x) * share)
 
-    sizes = reps.select("rep", "n_shingles")
-    first = members.where("rep <> centre").select("rep", "centre", "n_shingles").distinct()
+    sizes = wanted
+    stages.drop(reps)
+    first = listed.where("rep <> centre").select("centre", "rep", "n_shingles").distinct()
     first = first.join(sizes.select(F.col("rep").alias("centre"), F.col("n_shingles").alias("n_centre")), "centre").where(can_link("n_shingles", "n_centre"))
-    links = stages.save(linked(first.select(F.col("centre").alias("a"), F.col("rep").alias("b"))), "links")
+    links = linked(first.select(F.col("centre").alias("a"), F.col("rep").alias("b")))
     comps = connected_components(links, stages)
 
+    def with_components(df: DataFrame) -> DataFrame:
+        """``comp`` of rep and ``c_comp`` of centre beside the columns of ``df``."""
+        own = comps.toDF("node", "comp")
+        other = comps.toDF("c_node", "c_comp")
+        out = df.join(own, F.col("rep") == F.col("node"), "left").join(other, F.col("centre") == F.col("c_node"), "left")
+        return out.select(*df.columns, F.coalesce("comp", "rep").alias("comp"), F.coalesce("c_comp", "centre").alias("c_comp"))
+
+    # Short lists: outside members against all members of other components.
+    short = stages.save(with_components(listed.where(F.col("df") <= SHORT).select("h", "rep", "centre", "n_shingles")), "short")
+    outside = short.where("comp <> c_comp").select("h", F.col("rep").alias("other"), F.col("n_shingles").alias("n_other"), F.col("comp").alias("o_comp"))
+    met = short.select("h", "rep", "n_shingles", "comp").join(outside, "h").where((F.col("comp") != F.col("o_comp")) & can_link("n_shingles", "n_other"))
+    fresh = linked(met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
+    stages.drop(short, listed)
+    if fresh.limit(1).count():
+        links = links.union(fresh)
+        comps = connected_components(links, stages)
+
     done, pivots = None, PIVOTS
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
         # Members with their components; those outside the centre's that have not met the whole list yet.
-        label = comps.select(F.col("node"), F.col("comp"))
-        now = members.join(label, members["rep"] == label["node"], "left").select("h", "rep", "n_shingles", "centre", F.coalesce("comp", "rep").alias("comp"))
-        label = label.select(F.col("node").alias("c_node"), F.col("comp").alias("c_comp"))
-        now = now.join(label, now["centre"] == label["c_node"], "left").select("h", "rep", "n_shingles", "comp", F.coalesce("c_comp", "centre").alias("c_comp"))
-        now = stages.save(now, "now")
-        outside = now.where("comp <> c_comp").select("h", "rep", "n_shingles", "comp")
+        now = stages.save(with_components(members), "now")
+        outside = now.where("comp <> c_comp").select("centre", "rep", "comp")
         if done is not None:
-            outside = outside.join(done, ["h", "rep"], "left_anti")
-        picked = outside.groupBy("h", F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots)).alias("slot")).agg(F.min(F.struct("rep", "n_shingles", "comp")).alias("p"))
-        picked = stages.save(picked.select("h", "p.*").toDF("h", "pivot", "n_pivot", "p_comp"), "pivots")
+            outside = outside.join(done, ["centre", "rep"], "left_anti")
+        slot = F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots))
+        picked = outside.groupBy("centre", slot.alias("slot")).agg(F.min(F.struct("rep", "comp")).alias("p"))
+        picked = stages.save(picked.select("centre", F.floor(F.col("slot") / PIVOT_BLOCK).alias("block"), "p.rep", "p.comp"), "pivots")
         if not picked.limit(1).count():
             break
-        met = now.join(picked, "h").where((F.col("comp") != F.col("p_comp")) & can_link("n_shingles", "n_pivot"))
-        pairs = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        fresh = stages.save(linked(pairs), "links")
-        seen = picked.select("h", F.col("pivot").alias("rep"))
+        parts = stages.save(now.groupBy("centre").agg(F.ceil(F.count("*") / MEMBER_BLOCK).alias("parts")).join(picked.select("centre").distinct(), "centre", "left_semi"), "parts")
+        asking = picked.join(parts, "centre").select("centre", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).cast("long").alias("kind"), "rep", "comp")
+        asked = now.join(parts, "centre").join(picked.select("centre", "block").distinct(), "centre")
+        asked = asked.select("centre", "block", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), F.lit(1).cast("long").alias("kind"), "rep", "comp")
+        rows = asking.union(asked).join(sets, "rep").repartition(n_parts, "centre", "block", "part").sortWithinPartitions("centre", "block", "part", "kind", "rep")
+        fresh = stages.save(rows.select("centre", "block", "part", "kind", "rep", "comp", "items").mapInArrow(_block_links(share, of), "a long, b long"), "links")
+        seen = picked.select("centre", "rep")
         done = seen if done is None else done.union(seen)
         if fresh.limit(1).count():
             links = links.union(fresh)
             comps = connected_components(links, stages)
         pivots *= 4
+    # What only the rounds read; the result needs the classes, ids and components.
+    stages.drop(members, sketches, sets, now, picked)
     # The smallest doc_id of a component is that of its smallest class.
     found = classes.join(comps, classes["rep"] == comps["node"], "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
-    f, c = feat.select("doc_id", *key).alias("f"), found.alias("c")
+    f, c = ids.alias("f"), found.alias("c")
     same = (F.col("f.n_shingles") == F.col("c.n_shingles")) & (F.col("f.d1") == F.col("c.d1")) & (F.col("f.d2") == F.col("c.d2"))
     out = f.join(c, same, "left").select("f.doc_id", "f.n_shingles", F.when(F.col("f.doc_id").isNotNull(), F.coalesce("c.comp", "f.doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
