@@ -4,9 +4,9 @@ A page is cut into blocks.  Markup that names its role decides at once: menus, h
 sidebars, notices, adverts, forms, comments, scripts and styles go; what stands in an article (or
 main) element stays.  Blocks that the markup leaves open are decided by the host's suffix array:
 their token streams are concatenated, substrings of RUN tokens or more that repeat across
-distinct pages are boilerplate, and the runs that they do not cover are kept.  Where a page has
-no article the open blocks are its text; then only runs count as boilerplate that pages with
-different content share, as a copied page is no boilerplate.
+distinct pages are boilerplate, and the runs that they do not cover are kept, beside an article
+too.  Only runs count as boilerplate that pages with different content (article, or else longest
+block) share, as a copied page is no boilerplate.
 
 A host's pages are dealt to shards of about SHARD pages, each with a suffix array of its own;
 what is unique in its shard is compared across shards by the hashes of its token windows.
@@ -218,12 +218,14 @@ def extract_main_text(pages: DataFrame, stages: Stages | None = None) -> DataFra
     parsed = html.mapInArrow(_parse, f"page_id {page_type}, url string, host string, blocks array<string>, main array<boolean>")
     parsed = stages.save(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
 
-    # What tells a page's content: its longest block.
+    # What tells a page's content: its article or else its longest block.
     longest = F.aggregate("blocks", F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
-    has_main = F.exists("main", lambda x: x)
-    # Beside an article, blocks that nothing names are not the page's text; only pages without one are in question.
-    undecided = parsed.where(~has_main & (F.size("blocks") > 0))
-    open_blocks = undecided.select("row", "host", F.xxhash64(longest).alias("sign"), F.posexplode("blocks").alias("block", "text"))
+    body = F.when(F.exists("main", lambda x: x), F.array_join(F.filter("blocks", lambda b, i: F.element_at(F.col("main"), i + 1)), "\n")).otherwise(longest)
+    # Every block that the markup leaves open is in question, beside an article too; pages without one need no join.
+    has_open = F.exists("main", lambda x: ~x)
+    undecided = parsed.where(has_open)
+    open_blocks = undecided.select("row", "host", F.xxhash64(body).alias("sign"), F.posexplode("blocks").alias("block", "text"), "main")
+    open_blocks = open_blocks.where(~F.element_at("main", F.col("block") + 1)).drop("main")
     open_blocks = stages.save(open_blocks, "open")
     per_host = open_blocks.groupBy("host", "row").agg(F.lit(1).alias("one")).groupBy("host").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
     sharded = open_blocks.join(per_host, "host").withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")))
@@ -242,10 +244,9 @@ def extract_main_text(pages: DataFrame, stages: Stages | None = None) -> DataFra
     def kept(text, i):
         lost = F.element_at("gone", i)
         rest = F.array_join(F.filter(F.split(text, " "), lambda w, k: ~F.array_contains(lost, k)), " ")
-        return F.when(F.col("gone").isNull() | (F.size(lost) == 0), text).otherwise(rest)
+        return F.when(F.element_at("main", i + 1) | F.col("gone").isNull() | (F.size(lost) == 0), text).otherwise(rest)
 
-    decided = parsed.where(has_main | (F.size("blocks") == 0))
-    decided = decided.select("page_id", "url", F.array_join(F.filter("blocks", lambda b, i: F.element_at("main", i + 1)), "\n").alias("text"))
+    decided = parsed.where(~has_open).select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
     free = undecided.join(gone, "row", "left")
     free = free.select("page_id", "url", F.array_join(F.filter(F.transform("blocks", kept), lambda b: b != ""), "\n").alias("text"))
     return decided.union(free).withColumn("n_chars", F.length("text").cast("long"))

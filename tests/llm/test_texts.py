@@ -220,6 +220,17 @@ def test_repeated_runs_of_a_host_go_where_markup_is_silent(spark):
     assert all(line not in got[i] and f"number {i}" in got[i] for i in range(3)) and got[9] == line
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_open_blocks_beside_an_article_are_tested_for_repetition(spark):
+    line = "all our pages carry this long line of words at their end"
+    body = lambda i: f"<article><p>article number {i}</p></article>"
+    got = extracted(spark, [(i, "http://h/x", f"<body><p>an own lead of page {i}</p>{body(i)}<p>{line}</p></body>") for i in range(3)])
+    assert got == {i: f"an own lead of page {i}\narticle number {i}" for i in range(3)}
+
+
 @pytest.mark.parametrize("name", ["op1_minhash_near_dedup", "op4_embedding_near_dedup", "op9_secret_scan"])
 def test_query_equals_sql(spark, sf_dir, name):
     import duckdb
