@@ -9,7 +9,8 @@ too.  Only runs count as boilerplate that pages with different content (article,
 block) share, as a copied page is no boilerplate.
 
 A host's pages are dealt to shards of about SHARD pages, each with a suffix array of its own;
-what is unique in its shard is compared across shards by the hashes of its token windows.
+what is unique in its shard is compared across shards by the hashes of its token windows, with one
+entry for each window that repeats in a shard.
 
 Edge cases: null or empty html gives an empty text; a null url is a host of its own; rows that
 repeat are pages of their own; unclosed tags, stray ``<`` and text outside of body are read as
@@ -197,11 +198,16 @@ def _open_runs(pdf: pd.DataFrame) -> pd.DataFrame:
         if n >= run:
             h = hashing.mix(sum(own[i : n - run + 1 + i] * factor[i + 1] for i in range(run)))
             left = np.flatnonzero(~repeated[start : start + n - run + 1])
-            windows.append((row, block, int(rows and content[start]), np.flatnonzero(got).tolist(), left.tolist(), h[left].view(np.int64).tolist()))
+            windows.append((row, block, content[start], np.flatnonzero(got).tolist(), left.tolist(), h[left].view(np.int64).tolist()))
         else:
             windows.append((row, block, content[start], [], [], []))
     del place
-    return pd.DataFrame(windows, columns=["row", "block", "sign", "covered", "at", "windows"])
+    # One entry for each window that repeats here, in a line without a row: a single one in another shard meets it.
+    own = hashes[symbols[np.minimum(order[cut[least != most]][:, None] + np.arange(run), len(symbols) - 1)]]
+    again = hashing.mix(sum(own[:, i] * factor[i + 1] for i in range(run)))
+    windows.append((None, None, None, [], [], again.view(np.int64).tolist()))
+    out = pd.DataFrame(windows, columns=["row", "block", "sign", "covered", "at", "windows"])
+    return out.astype({"row": "Int64", "block": "Int32", "sign": "Int64"}).assign(host=pdf["host"].iloc[0])
 
 
 def hash_text(word: str) -> int:
@@ -230,13 +236,17 @@ def extract_main_text(pages: DataFrame, stages: Stages | None = None) -> DataFra
     per_host = open_blocks.groupBy("host", "row").agg(F.lit(1).alias("one")).groupBy("host").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
     sharded = open_blocks.join(per_host, "host").withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")))
     runs = sharded.select("row", "host", "sign", "block", "text", "shard").groupBy("host", "shard").applyInPandas(
-        _open_runs, "row long, block int, sign long, covered array<int>, at array<int>, windows array<long>"
+        _open_runs, "row long, block int, sign long, covered array<int>, at array<int>, windows array<long>, host string"
     )
     runs = stages.save(runs, "runs")
-    # Windows that are unique in their shard but repeat in another shard of the host.
-    single = runs.join(undecided.select("row", "host"), "row").select("host", "row", "block", "sign", F.explode(F.arrays_zip("at", "windows")).alias("w"))
+    # Windows that are unique in their shard but repeat in another shard of the host, or between shards.
+    again = runs.where("row is null").select("host", F.explode("windows").alias("h"))
+    runs = runs.where("row is not null")
+    single = runs.select("host", "row", "block", "sign", F.explode(F.arrays_zip("at", "windows")).alias("w"))
     single = single.select("host", "row", "block", "sign", F.col("w.at").alias("at"), F.col("w.windows").alias("h"))
-    across = single.groupBy("host", "h").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi")).where("lo <> hi").select("host", "h")
+    signs = single.select("host", "h", F.col("sign").alias("lo"), F.col("sign").alias("hi"), F.lit(False).alias("again"))
+    signs = signs.unionByName(again.withColumn("again", F.lit(True)), allowMissingColumns=True)
+    across = signs.groupBy("host", "h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("again").alias("again")).where("again or lo <> hi").select("host", "h")
     across = single.join(across, ["host", "h"]).groupBy("row", "block").agg(F.collect_set("at").alias("also"))
     gone = runs.join(across, ["row", "block"], "left").select("row", "block", F.array_union("covered", F.flatten(F.transform(F.coalesce("also", F.array().cast("array<int>")), lambda a: F.sequence(a, a + RUN - 1)))).alias("gone"))
     gone = gone.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("block", "gone"))).alias("gone"))

@@ -231,6 +231,15 @@ def test_open_blocks_beside_an_article_are_tested_for_repetition(spark):
     assert got == {i: f"an own lead of page {i}\narticle number {i}" for i in range(3)}
 
 
+def test_repeated_runs_do_not_depend_on_shards(spark, monkeypatch):
+    # Two shards; each line stands on three pages, so most lines repeat in one shard and stand once in the other.
+    monkeypatch.setattr(pages, "SHARD", 20)
+    line = lambda k: " ".join(f"line{k}x{j}" for j in range(9))
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    got = extracted(spark, [(i, "http://h/x", f"<body><p>{own(i)}</p><p>{line(i // 3)}</p></body>") for i in range(39)])
+    assert got == {i: own(i) for i in range(39)}
+
+
 @pytest.mark.parametrize("name", ["op1_minhash_near_dedup", "op4_embedding_near_dedup", "op9_secret_scan"])
 def test_query_equals_sql(spark, sf_dir, name):
     import duckdb
