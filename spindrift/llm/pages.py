@@ -3,7 +3,8 @@
 A page is cut into blocks.  Markup that names its role decides at once: menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles go; what stands in an article (or
 main) element stays.  Blocks that the markup leaves open are decided by the host's suffix array:
-their token streams are concatenated, substrings of RUN tokens or more that repeat across
+a page's are one token stream, so that a run may cover several short blocks; the streams of the
+host's pages are concatenated, substrings of RUN tokens or more that repeat across
 distinct pages are boilerplate, and the runs that they do not cover are kept, beside an article
 too.  Only runs count as boilerplate that pages with different content (article, or else longest
 block) share, as a copied page is no boilerplate.
@@ -166,14 +167,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A shard's open blocks: which tokens repeat in another page of the shard, and the window hashes of the rest."""
-    rows, tokens, owner, content, place = [], [], [], [], []
+    """A shard's streams of open tokens: which repeat in another page of the shard, and the window hashes of the rest."""
+    rows, tokens, content = [], [], []
     vocabulary: dict[str, int] = {}
-    for row, block, text, sign in zip(pdf["row"], pdf["block"], pdf["text"], pdf["sign"], strict=True):
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in text.split(" ")]
-        rows.append((row, block, len(tokens), len(ids)))
-        tokens += [*ids, -1 - len(rows)]
-        owner += [row] * (len(ids) + 1)
+    for row, texts, sign in zip(pdf["row"], pdf["texts"], pdf["sign"], strict=True):
+        # A page's blocks are one stream, as a run may cover several short ones; only pages are apart.
+        ids = [vocabulary.setdefault(w, len(vocabulary)) for text in texts for w in text.split(" ")]
+        rows.append((row, sign, len(tokens), len(ids)))
+        tokens += [*ids, -len(rows)]
         content += [sign] * (len(ids) + 1)
     symbols = np.asarray(tokens, dtype=np.int64)
     symbols = np.where(symbols < 0, len(vocabulary) - symbols, symbols)
@@ -190,24 +191,39 @@ def _open_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     repeated[order] = np.repeat(least != most, np.diff(np.r_[cut, len(ranks)]))
     for i in np.flatnonzero(repeated):
         covered[i : i + run] = True
-    hashes = np.array([hash_text(w) for w in vocabulary], dtype=np.uint64) if vocabulary else np.zeros(0, dtype=np.uint64)
+    hashes = np.array([hash_text(w) for w in vocabulary], dtype=np.uint64)
     factor = hashing.powers(np.uint64(0xA0761D6478BD642F | 1), run + 1)
-    for row, block, start, n in rows:
-        got = covered[start : start + n]
-        own = hashes[symbols[start : start + n]]
+    for row, sign, start, n in rows:
+        at, h = [], []
         if n >= run:
+            own = hashes[symbols[start : start + n]]
             h = hashing.mix(sum(own[i : n - run + 1 + i] * factor[i + 1] for i in range(run)))
             left = np.flatnonzero(~repeated[start : start + n - run + 1])
-            windows.append((row, block, content[start], np.flatnonzero(got).tolist(), left.tolist(), h[left].view(np.int64).tolist()))
-        else:
-            windows.append((row, block, content[start], [], [], []))
-    del place
+            at, h = left.tolist(), h[left].view(np.int64).tolist()
+        windows.append((row, sign, np.flatnonzero(covered[start : start + n]).tolist(), at, h))
     # One entry for each window that repeats here, in a line without a row: a single one in another shard meets it.
-    own = hashes[symbols[np.minimum(order[cut[least != most]][:, None] + np.arange(run), len(symbols) - 1)]]
+    own = hashes[symbols[order[cut[least != most]][:, None] + np.arange(run)]]
     again = hashing.mix(sum(own[:, i] * factor[i + 1] for i in range(run)))
-    windows.append((None, None, None, [], [], again.view(np.int64).tolist()))
-    out = pd.DataFrame(windows, columns=["row", "block", "sign", "covered", "at", "windows"])
-    return out.astype({"row": "Int64", "block": "Int32", "sign": "Int64"}).assign(host=pdf["host"].iloc[0])
+    windows.append((None, None, [], [], again.view(np.int64).tolist()))
+    out = pd.DataFrame(windows, columns=["row", "sign", "covered", "at", "windows"])
+    return out.astype({"row": "Int64", "sign": "Int64"}).assign(host=pdf["host"].iloc[0])
+
+
+def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the tokens of the open stream that are gone."""
+    for batch in batches:
+        texts = []
+        for blocks, main, gone in zip(*[batch.column(c).to_pylist() for c in ("blocks", "main", "gone")], strict=True):
+            lost, at, kept = set(gone or ()), 0, []
+            for block, in_main in zip(blocks, main, strict=True):
+                if not in_main:
+                    words = block.split(" ")
+                    block = " ".join(w for i, w in enumerate(words, at) if i not in lost)
+                    at += len(words)
+                if block:
+                    kept.append(block)
+            texts.append("\n".join(kept))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def hash_text(word: str) -> int:
@@ -230,33 +246,27 @@ def extract_main_text(pages: DataFrame, stages: Stages | None = None) -> DataFra
     # Every block that the markup leaves open is in question, beside an article too; pages without one need no join.
     has_open = F.exists("main", lambda x: ~x)
     undecided = parsed.where(has_open)
-    open_blocks = undecided.select("row", "host", F.xxhash64(body).alias("sign"), F.posexplode("blocks").alias("block", "text"), "main")
-    open_blocks = open_blocks.where(~F.element_at("main", F.col("block") + 1)).drop("main")
-    open_blocks = stages.save(open_blocks, "open")
-    per_host = open_blocks.groupBy("host", "row").agg(F.lit(1).alias("one")).groupBy("host").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
-    sharded = open_blocks.join(per_host, "host").withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")))
-    runs = sharded.select("row", "host", "sign", "block", "text", "shard").groupBy("host", "shard").applyInPandas(
-        _open_runs, "row long, block int, sign long, covered array<int>, at array<int>, windows array<long>, host string"
+    texts = F.filter("blocks", lambda b, i: ~F.element_at(F.col("main"), i + 1))
+    streams = stages.save(undecided.select("row", "host", F.xxhash64(body).alias("sign"), texts.alias("texts")), "open")
+    per_host = streams.groupBy("host").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
+    sharded = streams.join(per_host, "host").withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")))
+    runs = sharded.select("row", "host", "sign", "texts", "shard").groupBy("host", "shard").applyInPandas(
+        _open_runs, "row long, sign long, covered array<int>, at array<int>, windows array<long>, host string"
     )
     runs = stages.save(runs, "runs")
     # Windows that are unique in their shard but repeat in another shard of the host, or between shards.
     again = runs.where("row is null").select("host", F.explode("windows").alias("h"))
     runs = runs.where("row is not null")
-    single = runs.select("host", "row", "block", "sign", F.explode(F.arrays_zip("at", "windows")).alias("w"))
-    single = single.select("host", "row", "block", "sign", F.col("w.at").alias("at"), F.col("w.windows").alias("h"))
+    single = runs.select("host", "row", "sign", F.explode(F.arrays_zip("at", "windows")).alias("w"))
+    single = single.select("host", "row", "sign", F.col("w.at").alias("at"), F.col("w.windows").alias("h"))
     signs = single.select("host", "h", F.col("sign").alias("lo"), F.col("sign").alias("hi"), F.lit(False).alias("again"))
     signs = signs.unionByName(again.withColumn("again", F.lit(True)), allowMissingColumns=True)
     across = signs.groupBy("host", "h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("again").alias("again")).where("again or lo <> hi").select("host", "h")
-    across = single.join(across, ["host", "h"]).groupBy("row", "block").agg(F.collect_set("at").alias("also"))
-    gone = runs.join(across, ["row", "block"], "left").select("row", "block", F.array_union("covered", F.flatten(F.transform(F.coalesce("also", F.array().cast("array<int>")), lambda a: F.sequence(a, a + RUN - 1)))).alias("gone"))
-    gone = gone.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("block", "gone"))).alias("gone"))
-
-    def kept(text, i):
-        lost = F.element_at("gone", i)
-        rest = F.array_join(F.filter(F.split(text, " "), lambda w, k: ~F.array_contains(lost, k)), " ")
-        return F.when(F.element_at("main", i + 1) | F.col("gone").isNull() | (F.size(lost) == 0), text).otherwise(rest)
+    across = single.join(across, ["host", "h"]).groupBy("row").agg(F.collect_set("at").alias("also"))
+    also = F.flatten(F.transform(F.coalesce("also", F.array().cast("array<int>")), lambda a: F.sequence(a, a + RUN - 1)))
+    gone = runs.join(across, "row", "left").select("row", F.array_union("covered", also).alias("gone"))
 
     decided = parsed.where(~has_open).select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
-    free = undecided.join(gone, "row", "left")
-    free = free.select("page_id", "url", F.array_join(F.filter(F.transform("blocks", kept), lambda b: b != ""), "\n").alias("text"))
+    free = undecided.join(gone, "row", "left").select("page_id", "url", "blocks", "main", "gone")
+    free = free.mapInArrow(_strip, f"page_id {page_type}, url string, text string")
     return decided.union(free).withColumn("n_chars", F.length("text").cast("long"))

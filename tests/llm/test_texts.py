@@ -240,6 +240,13 @@ def test_repeated_runs_do_not_depend_on_shards(spark, monkeypatch):
     assert got == {i: own(i) for i in range(39)}
 
 
+def test_repeated_runs_cover_several_short_blocks(spark):
+    menu = "".join(f"<li>item {k}</li>" for k in range(6))
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    got = extracted(spark, [(i, "http://h/x", f"<body><ul>{menu}</ul><div>{own(i)}</div><div>one{i}</div></body>") for i in range(3)])
+    assert got == {i: f"{own(i)}\none{i}" for i in range(3)}
+
+
 @pytest.mark.parametrize("name", ["op1_minhash_near_dedup", "op4_embedding_near_dedup", "op9_secret_scan"])
 def test_query_equals_sql(spark, sf_dir, name):
     import duckdb
