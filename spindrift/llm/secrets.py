@@ -3,9 +3,9 @@
 DataFrame operations only.  Three base kinds are matched in whole texts, leftmost and without
 overlap; positions come from the lengths of the pieces between matches.  Wider candidates (long
 mixed tokens) are judged by how widely their value is owned: candidate hashes are aggregated by
-distinct repositories (documents) and owners (sources).  A value that many owners hold is a
-copied example; one that few hold and that looks random is a live credential, and its spans are
-added.  The base spans are always kept.
+distinct repositories (documents) and owners (sources).  A value that many owners or many
+documents hold is a copied example; one that few hold and that looks random is a live credential,
+and its spans are added.  The base spans are always kept.
 
 Edge cases: null text is empty (no spans, the digest of the empty string); a null source counts
 as one owner; rows that repeat are scanned one by one and share their owner; an empty table
@@ -28,6 +28,8 @@ WIDE = r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "owner")
 #: Values held by more owners than this are copied examples.
 EXAMPLE_OWNERS = 2
+#: Values in more distinct documents than this are copied examples, whoever owns them.
+EXAMPLE_REPOSITORIES = 8
 #: Distinct characters that a random-looking value has at least.
 DISTINCT_CHARS = 8
 
@@ -77,7 +79,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def scan_secrets(documents: DataFrame, keep: tuple[str, ...] = (), stages: Stages | None = None) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base (array of spans), spans (all, by start), n_live, then ``keep``.
 
-    ``n_live`` counts the document's spans whose value few owners hold.
+    ``n_live`` counts the document's spans whose value few owners and few documents hold.
     """
     stages = stages or Stages(documents.sparkSession, "secrets")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -97,7 +99,7 @@ def scan_secrets(documents: DataFrame, keep: tuple[str, ...] = (), stages: Stage
     every = found.where("size(assign) + size(access) + size(hexes) + size(wide) > 0").select("row", "doc_id", "owner", F.explode(F.concat("assign", "access", "hexes", "wide")).alias("s"))
     every = every.select("row", "doc_id", "owner", "s", F.xxhash64("s.value").alias("hash"))
     owned = ownership(every.select("hash", "owner", "doc_id"))
-    judged = every.join(owned, "hash").withColumn("live", F.col("owners") <= EXAMPLE_OWNERS)
+    judged = every.join(owned, "hash").withColumn("live", (F.col("owners") <= EXAMPLE_OWNERS) & (F.col("repositories") <= EXAMPLE_REPOSITORIES))
     judged = judged.groupBy("row").agg(
         F.count_if("live").alias("n_live"), F.collect_list(F.when(F.col("live") & (F.col("s.kind") == 3), F.col("s"))).alias("added")
     )

@@ -151,6 +151,15 @@ def test_ownership_tells_examples_from_credentials(spark):
     assert secrets.scan_secrets(clean.limit(0)).count() == 0
 
 
+def test_values_in_many_documents_of_one_owner_are_examples(spark):
+    live, example = "ghp_R4nd0mL00kingV4lue9x", "sk_example_0123456789Abc"
+    most = secrets.EXAMPLE_REPOSITORIES
+    texts = [f"use {live} now {i} {live}" for i in range(most)] + [f"see {example} here {i}" for i in range(most + 1)]
+    got = {r.doc_id: r for r in secrets.scan_secrets(documents(spark, texts)).collect()}
+    assert all(len(got[i].spans) == got[i].n_live == 2 for i in range(most))
+    assert all(len(got[i].spans) == got[i].n_live == 0 for i in range(most, len(texts)))
+
+
 def brute_targets(sizes, weights=(5.0, 2.0, 1.0)):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
