@@ -349,7 +349,7 @@ _GAMES = "games AS (SELECT p_partkey AS game_id, p_name AS title, p_type FROM pa
 
 
 def _games(spark, sf_dir):
-    p = tables.table(spark, sf_dir, "part").where("p_partkey < 50")
+    p = tables.table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("game_id"), F.col("p_name").alias("title"), F.split("p_type", " ").alias("popular_tags"))
 
 
@@ -397,7 +397,9 @@ def q37_mismatch_breakdown(spark, sf_dir):
 g AS (SELECT CASE WHEN t = '' THEN 'empty_after_cleaning' WHEN length(t) < 20 THEN 'gated' ELSE 'no_guess' END AS cause, count(*) n FROM c GROUP BY 1)
 SELECT cause, n, round(n * CAST(100.0 AS DOUBLE) / (SELECT sum(n) FROM g), 2) AS pct_of_undetermined FROM g""")
 def q38_und_breakdown(spark, sf_dir):
-    rows = tables.reviews(spark, sf_dir).where(F.col("doc_id") % 5 == 0).withColumn("review_lang", F.lit("und")).withColumn("detection_confidence", F.lit(0.0))
+    und = F.col("doc_id") % 5 == 0
+    rows = tables.reviews(spark, sf_dir).withColumn("detection_confidence", F.when(und, 0.0).otherwise(0.9))
+    rows = rows.withColumn("review_lang", F.when(und, "und").otherwise(F.col("review_lang")))
     return reports.undetermined_breakdown(rows)
 
 
@@ -450,7 +452,7 @@ v AS (SELECT concat('u', CAST(vec_id AS STRING)) AS user_url, round(CAST(embeddi
 SELECT rates.user_url, n_total, CAST(profile_level AS STRING) AS profile_level, first_component FROM rates JOIN prof ON rates.user_url = prof.user_url LEFT JOIN v ON rates.user_url = v.user_url""")
 def q45_feature_table(spark, sf_dir):
     rates = _rates(spark, sf_dir)
-    c = tables.table(spark, sf_dir, "customer").where("c_custkey < 60")
+    c = tables.table(spark, sf_dir, "customer")
     profiles = c.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("/")).alias("steam_url"), F.when(F.col("c_custkey") % 5 == 0, -1).otherwise(F.col("c_nationkey")).alias("profile_level"))
     vectors = tables.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("u"), F.col("vec_id").cast("string")).alias("user_url"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first_component"))
     joined = users.profile_metadata(rates.select("user_url", "n_total"), profiles)

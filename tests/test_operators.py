@@ -38,6 +38,13 @@ def test_clean_games_and_users(spark, tmp_path):
     assert sorted((r.steam_id, r.awards, r.groups) for r in cleaning.clean_users(raw).collect())[1] == ("s2", None, 2)
 
 
+def test_undetermined_breakdown_tells_rows_apart(spark):
+    long = "letters enough for a detector"
+    rows = [(None, "und", 0.0), ("", "und", 0.0), ("short", "und", 0.5), (long, "und", 0.0), (long, "und", None), (long, "und", 0.8), (long, "en", 0.0), ("", "fr", 0.9), (long, None, 0.0)]
+    got = reports.undetermined_breakdown(spark.createDataFrame(rows, "review_text string, review_lang string, detection_confidence double"))
+    assert {r.cause: r.n for r in got.collect()} == {"no_text": 1, "empty_after_cleaning": 1, "gated": 1, "no_guess": 2, "inconsistent": 1}
+
+
 def test_md5_bucket(spark):
     import hashlib
 

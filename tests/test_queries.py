@@ -41,6 +41,22 @@ def test_model_queries_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_operators_get_whole_tables(spark, sf_dir, monkeypatch):
+    from spindrift.operators import reports, users
+    from spindrift.plans import queries
+    from spindrift.sources import tables
+
+    given = {}
+    real = users.profile_metadata
+    monkeypatch.setattr(reports, "undetermined_breakdown", lambda df: given.setdefault("reviews", df))
+    monkeypatch.setattr(users, "profile_metadata", lambda df, profiles: (given.setdefault("profiles", profiles), real(df, profiles))[1])
+    queries.q38_und_breakdown(spark, sf_dir)
+    queries.q45_feature_table(spark, sf_dir)
+    assert given["reviews"].count() == tables.reviews(spark, sf_dir).count() > given["reviews"].where("review_lang = 'und'").count() > 0
+    assert given["profiles"].count() == tables.table(spark, sf_dir, "customer").count()
+    assert queries._games(spark, sf_dir).count() == tables.table(spark, sf_dir, "part").count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
