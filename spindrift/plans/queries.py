@@ -501,3 +501,7 @@ def q51_portuguese_dates(spark, sf_dir):
     return tables.reviews(spark, sf_dir).select("doc_id", cleaning.portuguese_date(said).alias("review_date"))
 
 
+@query()
+def q52_clean_terms_all(spark, sf_dir):
+    """Every review, accents folded; q50 has those that its SQL can follow."""
+    return tables.reviews(spark, sf_dir).select("review_url", text.clean_terms(F.col("review_text")).alias("clean"))

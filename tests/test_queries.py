@@ -57,6 +57,25 @@ def test_operators_get_whole_tables(spark, sf_dir, monkeypatch):
     assert queries._games(spark, sf_dir).count() == tables.table(spark, sf_dir, "part").count()
 
 
+def test_clean_terms_runs_over_every_review(spark, sf_dir):
+    import re
+    import unicodedata
+
+    from spindrift.functions import text
+    from spindrift.sources import tables
+
+    def brute(t):
+        t = re.sub(r"https?://\S+|www\.\S+", " ", t.lower())
+        t = re.sub("|".join(text.BOILERPLATE), " ", t, flags=re.I)
+        t = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
+        return re.sub(r"\s+", " ", re.sub(r"[^a-z\s]", " ", t)).strip()
+
+    given = {r.review_url: r.review_text for r in tables.reviews(spark, sf_dir).collect()}
+    got = {r.review_url: r.clean for r in QUERIES["q52_clean_terms_all"](spark, sf_dir).collect()}
+    assert any(t and not t.isascii() for t in given.values())
+    assert got == {u: None if t is None else brute(t) for u, t in given.items()}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
