@@ -221,7 +221,7 @@ def _tail(shared):
         def out(h: np.ndarray, cell: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(h), 1 << 16):
                 b = a + (1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array(h[a:b]), pa.array(cell[a:b].astype(np.int32)), pa.array(n[a:b])], names=["h", "cell", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[a:b]), pa.array(cell[a:b] << 40 | n[a:b])], names=["h", "packed"])
 
         for batch in batches:
             ids, starts = _ended(batch.column("ids"), -2)
@@ -235,12 +235,10 @@ def _tail(shared):
             # An end stands behind every word of a text.
             parts.append((np.r_[h[at], h[at]], np.r_[cls[at + 1], width + _before(cls, starts, width - 1)[at]], np.ones(2 * len(at), dtype=np.int64)))
             pending += 2 * len(at)
-            if pending > FLUSH:
-                parts = [merged()]
-                pending = len(parts[0][0])
-                if pending > FLUSH // 2:
-                    yield from out(*parts[0])
-                    parts, pending = [], 0
+            # Rare words seldom repeat in a task: little is gained by holding more.
+            if pending > FLUSH // 8:
+                yield from out(*merged())
+                parts, pending = [], 0
         if parts:
             yield from out(*merged())
 
@@ -255,22 +253,32 @@ def assign(word: np.ndarray, cell: np.ndarray, n: np.ndarray, n_words: int, tabl
     width = len(table)
     best = np.zeros(n_words, dtype=np.int64)
     bounds = np.searchsorted(word, np.arange(n_words + 1))
-    row_sum, col_sum = table[:k].sum(axis=1), table[:, :k].sum(axis=0)
+    sums = np.stack([table[:k].sum(axis=1), table[:, :k].sum(axis=0)])
+    # By side and the neighbour's class: the counts of each class with it.
+    base = np.stack([table[:k].T, table[:, :k]])
+    logs, sum_logs = _xlogx(base), _xlogx(sums)
+    one = _xlogx(base + 1) - logs
     a = 0
     while a < n_words:
         b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + WEIGHED, side="right")) - 1)
         part = slice(bounds[a], bounds[b])
         w, (side, c), m = word[part] - a, np.divmod(cell[part], width), n[part].astype(float)
-        near = np.zeros((2, b - a, width))
-        near[side, w, c] = m
-        base = np.where((side == 0)[:, None], table[:k].T[c], table[:, :k][c])
-        # The word itself is not in the class of the remaining words while it is weighed.
-        rest = c == k
-        base[rest] = np.maximum(base[rest] - near[1 - side[rest], w[rest], :k], 0)
-        gain = np.add.reduceat(_xlogx(base + m[:, None]) - _xlogx(base), bounds[a:b] - bounds[a], axis=0)
-        for s, sums in ((0, row_sum), (1, col_sum)):
-            own = np.maximum(sums - near[1 - s, :, :k], 0)
-            gain -= _xlogx(own + near[s].sum(axis=1)[:, None]) - _xlogx(own)
+        more = one[side, c]
+        many = np.flatnonzero(m > 1)
+        more[many] = _xlogx(base[side[many], c[many]] + m[many, None]) - logs[side[many], c[many]]
+        gain = np.add.reduceat(more, bounds[a:b] - bounds[a], axis=0)
+        total, rest = np.zeros((2, b - a)), np.zeros((2, b - a))
+        np.add.at(total, (side, w), m)
+        rest[side[c == k], w[c == k]] = m[c == k]
+        for s in (0, 1):
+            kinds, which = np.unique(total[s], return_inverse=True)
+            gain -= (_xlogx(sums[s] + kinds[:, None]) - sum_logs[s])[which]
+        # The word itself is not in the class of the remaining words while it is weighed: less in its neighbours' classes.
+        near = np.flatnonzero(c < k)
+        other, w, c, m = 1 - side[near], w[near], c[near], m[near]
+        for had, add, sign in ((base[other, k, c], rest[other, w], 1), (sums[other, c], total[other, w], -1)):
+            less = np.maximum(had - m, 0)
+            np.add.at(gain, (w, c), sign * (_xlogx(less + add) - _xlogx(less) - _xlogx(had + add) + _xlogx(had)))
         best[a:b] = gain.argmax(axis=1)
         a = b
     return best
@@ -283,10 +291,10 @@ def _assigned(shared):
         for whole in batches:
             for a in range(0, len(whole), 4096):
                 batch = whole.slice(a, 4096)
-                offsets = batch.column("cells").offsets.to_numpy()
-                key = np.repeat(np.arange(len(batch)), np.diff(offsets)) * cells + _flat(batch.column("cells"))
+                packed = _flat(batch.column("packed"))
+                key = np.repeat(np.arange(len(batch)), np.diff(batch.column("packed").offsets.to_numpy())) * cells + (packed >> 40)
                 key, inverse = np.unique(key, return_inverse=True)
-                n = np.bincount(inverse, weights=_flat(batch.column("ns"))).astype(np.int64)
+                n = np.bincount(inverse, weights=packed & (1 << 40) - 1).astype(np.int64)
                 word, cell = np.divmod(key, cells)
                 # Each token has one token (or end) before it.
                 count = np.bincount(word, weights=np.where(cell >= cells // 2, n, 0), minlength=len(batch)).astype(np.int64)
@@ -296,24 +304,31 @@ def _assigned(shared):
     return run
 
 
-def _classed(shared):
-    """Token rows with the class of each token; ``rare_classes`` are those of the words that are not sent to the tasks."""
+def _sure(shared):
+    """Token rows with the class of each word that is sent to the tasks, -1 for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_place = shared.value
+        by_place = np.append(shared.value, np.int16(-1))
         for batch in batches:
             column = batch.column("ids")
-            ids = _flat(column)
-            cls = np.zeros(len(ids), dtype=np.int16)
-            cls[ids >= 0] = by_place[ids[ids >= 0]]
-            cls[ids < 0] = _flat(batch.column("rare_classes"))
             offsets = pa.array(column.offsets.to_numpy() - column.offsets[0].as_py(), pa.int32())
-            kept = ["doc_id", "held_out", "n_tokens", "logs", "n_rare", "rare_logs", "rare_known"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.ListArray.from_arrays(offsets, pa.array(cls))], names=[*kept, "classes"])
+            kept = ["row", "doc_id", "held_out", "n_tokens", "logs", "n_rare"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.ListArray.from_arrays(offsets, pa.array(by_place[_flat(column)]))], names=[*kept, "classes"])
 
     return run
 
 
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token rows with the class of each token; ``rare_classes`` are those of the words that are not sent to the tasks."""
+    for batch in batches:
+        column = batch.column("classes")
+        cls = _flat(column).astype(np.int16)
+        cls[cls < 0] = _flat(batch.column("rare_classes")) & 65535
+        offsets = pa.array(column.offsets.to_numpy() - column.offsets[0].as_py(), pa.int32())
+        kept = ["doc_id", "held_out", "n_tokens", "logs", "n_rare", "rare_logs", "rare_known"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.ListArray.from_arrays(offsets, pa.array(cls))], names=[*kept, "classes"])
+
+
 CLASSED = "doc_id {kind}, held_out boolean, n_tokens long, logs double, n_rare long, rare_logs double, rare_known long"
 
 
@@ -408,8 +423,9 @@ def score_documents(documents: DataFrame, stages: Stages | None = None) -> DataF
 
     # All other training words go to classes by their own neighbours.
     by_place = h[by_count].view(np.int64)
-    near = training.mapInArrow(_tail(send((classes, width, by_place))), "h long, cell int, n long")
-    near = near.groupBy("h").agg(F.collect_list(F.struct("cell", "n")).alias("e")).select("h", F.col("e.cell").alias("cells"), F.col("e.n").alias("ns"))
+    near = training.mapInArrow(_tail(send((classes, width, by_place))), "h long, packed long")
+    # A cell and its count share a long, as lists of structs take four times the room.
+    near = near.groupBy("h").agg(F.collect_list("packed").alias("packed"))
     assigned = stages.save(near.mapInArrow(_assigned(send((table, k))), "h long, class smallint, c long"), "assigned")
     sent = assigned.where(bucket >= least).select("h", "class").toArrow() if least is not None else None
     class_by_place = np.full(len(h), k, dtype=np.int16)
@@ -422,17 +438,19 @@ def score_documents(documents: DataFrame, stages: Stages | None = None) -> DataF
     rare = rare.groupBy("row").agg(
         F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("rare_logs"),
         F.count("c").alias("rare_known"),
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("class", F.lit(k)).cast("smallint").alias("class")))).alias("e"),
+        F.sort_array(F.collect_list(F.col("pos").cast("long") * 65536 + F.coalesce("class", F.lit(k)))).alias("rare_classes"),
     )
-    whole = tokens.join(rare, "row", "left").select(
-        *["doc_id", "held_out", "n_tokens", "logs", "ids"],
-        F.size("rare").cast("long").alias("n_rare"),
+    # The classes that are known go through the join, two bytes a token.
+    fields = "row long, doc_id {kind}, held_out boolean, n_tokens long, logs double, n_rare long".format(kind=kind)
+    sure = tokens.withColumn("n_rare", F.size("rare").cast("long")).drop("rare").mapInArrow(_sure(send(class_by_place)), f"{fields}, classes array<smallint>")
+    whole = sure.join(rare, "row", "left").select(
+        *["doc_id", "held_out", "n_tokens", "logs", "n_rare", "classes"],
         F.coalesce("rare_logs", F.lit(0.0)).alias("rare_logs"),
         F.coalesce("rare_known", F.lit(0)).cast("long").alias("rare_known"),
-        F.coalesce(F.col("e.class"), F.array().cast("array<smallint>")).alias("rare_classes"),
+        F.coalesce("rare_classes", F.array().cast("array<long>")).alias("rare_classes"),
     )
     fields = CLASSED.format(kind=kind)
-    classed = stages.save(whole.mapInArrow(_classed(send(class_by_place)), f"{fields}, classes array<smallint>"), "classed")
+    classed = stages.save(whole.mapInArrow(_classed, f"{fields}, classes array<smallint>"), "classed")
 
     cells = classed.where("not held_out").select("classes").mapInArrow(_bigrams(width), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(width * width)
