@@ -187,11 +187,15 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
     picked = usable.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(rows)
     # ``picked`` has ``rows`` rows at most, so it can be sent to every task.
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    got = texts.select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label int, grams array<int>").toArrow()
+    got = texts.select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label int, grams array<int>").toArrow().combine_chunks()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    grams = got.column("grams").to_pylist()
     label = got.column("label").to_numpy()
-    return fit([np.array(grams[i], dtype=np.int64) for i in order], label[order])
+    # Views of the Arrow buffers: no Python object for a number.
+    views: list[np.ndarray] = []
+    for chunk in got.column("grams").chunks:
+        flat, at = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        views += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return fit([views[i] for i in order], label[order])
 
 
 def score_documents(documents: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
