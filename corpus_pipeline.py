@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept and returns
 the columns of ``documents``; the last one adds the tokens.
+
+Edge cases, alike in all stages: an empty table gives no rows; a null or white text is an empty text
+(the classifier decides on it by its bias alone, no document is its copy, it has no secrets, size 0
+and no tokens); rows with a null doc_id are documents of their own and no copies; a null source is
+a source of its own, the last one; other columns of the input go on with their row.
 """
 
 from __future__ import annotations
@@ -23,10 +28,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity 0.8 or more); rows that repeat an id stay once."""
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8 or more).
+
+    Rows that repeat an id and its text stay once, with the least of their other values; texts that
+    share an id all stay, if the id does.
+    """
     found = minhash.near_duplicates(docs, width=5, share=80, of=100)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    named = named.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *others)).alias("r")).select("doc_id", "text", *[F.col(f"r.`{c}`").alias(c) for c in others])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
