@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from spindrift.functions import stats
 from spindrift.operators.examples import split_negatives, stratified_folds
 from spindrift.operators.users import vector_means
+from spindrift.sources import sinks
+from spindrift.sources.stage import Stages
 
 # Fixed values.
 COSTS = (0.001, 0.01, 0.1, 1.0, 10.0)
@@ -73,20 +77,32 @@ def best_cost(train: DataFrame, features: str, label: str, key: str, costs: Sequ
     return max(sorted(scores), key=lambda c: scores[c])
 
 
-def nested_evaluation(df: DataFrame, features: str, label: str, key: str, costs: Sequence[float] = COSTS, limit_positives: int | None = None) -> DataFrame:
+def nested_evaluation(df: DataFrame, features: str, label: str, key: str, costs: Sequence[float] = COSTS, limit_positives: int | None = None, path: str | None = None) -> DataFrame:
     """Each positive held out once, with a fixed share of the negatives: (key, y_true, y_score).
 
-    A held-out negative's score is its mean over the outer folds.
+    A held-out negative's score is its mean over the outer folds.  Each fold's predictions are a
+    table; under ``path`` a later call goes on behind the folds that are there (made under the same
+    parameters).  ``limit_positives`` is for trial runs: the first so many positives by key.
     """
     parts = split_negatives(df, label, key, TEST, SEED).cache()
-    positives = [r[0] for r in parts.where(F.col(label)).select(key).orderBy(key).limit(limit_positives or 1_000_000).collect()]
+    positives = parts.where(F.col(label)).select(key).orderBy(key)
+    positives = [r[0] for r in (positives.limit(limit_positives) if limit_positives else positives).collect()]
     held = parts.where("part = 'test'")
-    out = None
-    for p in positives:
+    stages, out = Stages(df.sparkSession, "folds"), None
+
+    def fold(p) -> DataFrame:
         train = parts.where((F.col("part") == "train") | (F.col(label) & (F.col(key) != p)))
         model = fit_logistic(train, features, label, best_cost(train, features, label, key, costs))
-        got = predict(model, held.unionByName(parts.where(F.col(key) == p)), features).select(key, F.col(label).cast("int").alias("y_true"), "y_score")
+        return predict(model, held.unionByName(parts.where(F.col(key) == p)), features).select(key, F.col(label).cast("int").alias("y_true"), "y_score")
+
+    for p in positives:
+        if path:
+            config = {"positive": str(p), "features": features, "label": label, "costs": list(costs)}
+            got = sinks.resume_stage(df.sparkSession, f"{path}/{hashlib.sha256(str(p).encode()).hexdigest()[:24]}", config, partial(fold, p))
+        else:
+            got = stages.save(fold(p), "fold")
         out = got if out is None else out.unionByName(got)
+    parts.unpersist()
     if out is None:
         return held.limit(0).select(key, F.col(label).cast("int").alias("y_true"), F.lit(0.0).alias("y_score"))
     return out.groupBy(key, "y_true").agg(F.avg("y_score").alias("y_score"))

@@ -25,14 +25,14 @@ def drop_existing(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 def cast_existing(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Casts of the columns that are there; what doesn't parse becomes null."""
-    return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items() if c in df.columns})
+    return df.withColumns({c: F.col(f"`{c}`").try_cast(t) for c, t in types.items() if c in df.columns})
 
 
 def sentinels_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """"" and "-1" in strings, -1 in numbers, and NaN become null."""
     out = {}
     for field in df.schema.fields:
-        c = F.col(field.name)
+        c = F.col(f"`{field.name}`")
         if columns is not None and field.name not in columns:
             continue
         if isinstance(field.dataType, T.StringType):
@@ -128,18 +128,29 @@ def dedup_reviews(cleaned: DataFrame) -> DataFrame:
     return dedup(cleaned, "review_url", [F.md5(F.to_json(F.struct(*sorted(cleaned.columns))))])
 
 
+def _need(df: DataFrame, columns: Iterable[str]) -> None:
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"missing columns: {missing}")
+
+
 def clean_games(raw: DataFrame) -> DataFrame:
-    out = sentinels_to_null(drop_existing(raw, tables.GAME_DROPS)).withColumn("game_id", to_id(F.col("game_id")))
-    out = out.withColumns({c: iso_date(F.col(c)) for c in ("release_date", "early_access_date") if c in out.columns})
+    """Raw games (in the source's names or ours) to typed games, one for each game_id; without title or id columns it is an error."""
+    out = drop_existing(rename_existing(raw, tables.GAME_NAMES), tables.GAME_DROPS)
+    _need(out, ("game_id", "title"))
+    out = sentinels_to_null(out).withColumn("game_id", to_id(F.col("game_id")))
+    out = out.withColumns({c: iso_date(F.col(c).cast("string")) for c in ("release_date", "early_access_date") if c in out.columns})
     if "price" in out.columns:
-        out = out.withColumn("price", price(F.col("price")))
+        out = out.withColumn("price", price(F.col("price").cast("string")))
     out = out.na.drop(subset=["title", "game_id"])
     return dedup(out, "game_id", [F.md5(F.to_json(F.struct(*sorted(out.columns))))])
 
 
 def clean_users(raw: DataFrame) -> DataFrame:
-    out = cast_existing(raw.drop("reviews_langs"), {c: "bigint" for c in tables.USER_COUNTERS} | {"has_ban": "boolean"})
-    out = sentinels_to_null(out)
+    """Raw users (in the source's names or ours) to typed users, one for each steam_id; precomputed toxicity goes."""
+    out = drop_existing(rename_existing(raw, tables.USER_NAMES), tables.USER_DROPS)
+    _need(out, ("steam_id",))
+    types = {c: "string" for c in tables.USER_STRINGS} | {c: "bigint" for c in tables.USER_COUNTERS} | {"has_ban": "boolean"}
+    out = sentinels_to_null(cast_existing(out, types))
     return dedup(out, "steam_id", [F.md5(F.to_json(F.struct(*sorted(out.columns))))])
 
 

@@ -43,8 +43,35 @@ def split_negatives(df: DataFrame, label: str, key: str, test: float = 0.2, seed
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    place = Window.partitionBy(label).orderBy(hash_order(key, seed), key)
-    return df.withColumn("fold", (F.row_number().over(place) - 1) % k)
+    """``fold`` 0 to k - 1: each label's rows dealt round in hash order."""
+    return numbered(df, label, key, seed).withColumn("fold", ((F.col("_n") - 1) % k).cast("int")).drop("_n")
+
+
+def numbered(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+    """``_n``: a row's place (from 1) in the hash order of its label's rows.
+
+    Hash prefixes cut the order into slices; their counts, a few thousand a label, give each slice's
+    first place, so no task holds a whole label.
+    """
+    cut = df.withColumn("_h", hash_order(key, seed)).withColumn("_s", F.substring("_h", 1, 3))
+    counts = cut.groupBy(F.col(label).alias("_l"), F.col("_s").alias("_t")).agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("_l").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))
+    first = counts.select("_l", "_t", F.coalesce(before, F.lit(0)).alias("_b"))
+    place = Window.partitionBy(label, "_s").orderBy("_h", key)
+    out = cut.withColumn("_r", F.row_number().over(place)).join(first, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_s") == F.col("_t")))
+    return out.withColumn("_n", F.col("_b") + F.col("_r")).drop("_h", "_s", "_r", "_l", "_t", "_b")
+
+
+def draw_balanced(df: DataFrame, label: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n draws with replacement under balanced weights (``draw`` 0 to n - 1): a class by hash, then one of its rows."""
+    rows = numbered(df, label, key, seed)
+    classes = rows.groupBy(label).agg(F.count("*").alias("_size"))
+    order = classes.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "_size"))).alias("_classes"))
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(order))
+    pick = lambda salt, size: F.least(F.floor(unit("draw", seed + salt) * size), size - 1)
+    draws = draws.withColumn("_one", F.get("_classes", pick(1, F.size("_classes")).cast("int")))
+    draws = draws.select("draw", F.col("_one.label").alias("_l"), (pick(2, F.col("_one._size")) + 1).alias("_m"))
+    return rows.join(draws, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_n") == F.col("_m"))).select("draw", *df.columns)
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:

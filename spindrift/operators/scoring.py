@@ -161,20 +161,30 @@ def encode_texts(column: Column, encoder: Callable[[Sequence[str]], np.ndarray]
 
 
 # The labeller's categories.
-TAXONOMY = ("gameplay", "performance", "price", "community", "developer", "content", "hate", "spam", "other")
+TAXONOMY = ("generic_insult", "violence_threat", "sexual_content", "identity_hate", "nationality_xenophobia", "product_complaint", "humor_sarcasm", "copypasta_repetition", "other")
+# The rule of the stand-in labeller, from the most to the least telling.
 KEYWORDS = {
-    "gameplay": {"controls", "combat", "level", "difficulty"}, "performance": {"crash", "lag", "fps", "bug"}, "price": {"price", "money", "refund", "expensive"}, "community": {"players", "team", "chat", "cheaters"},
-    "developer": {"developer", "devs", "update", "support"}, "content": {"story", "graphics", "music", "map"}, "hate": {"hate", "stupid", "trash", "scum"}, "spam": {"free", "click", "http", "visit"},
+    "violence_threat": {"kill", "die", "shoot", "murder", "matar", "morrer"}, "nationality_xenophobia": {"chinese", "russian", "american", "foreigners", "chineses", "gringos"},
+    "identity_hate": {"race", "religion", "gender", "racist", "raça"}, "sexual_content": {"sex", "porn", "nude", "sexo"}, "product_complaint": {"refund", "crash", "lag", "bug", "price", "devs", "update", "fps"},
+    "humor_sarcasm": {"lol", "haha", "joke", "kkkk"}, "generic_insult": {"stupid", "trash", "idiot", "garbage", "lixo", "burro"},
 }
 
 
 def label_topics(topics: DataFrame, labeller: Callable[[str], str] | None = None) -> DataFrame:
-    """topic, label, category: the outliers and topics without data have fixed answers, others the labeller's JSON or a rule over keywords."""
+    """topic, label, description, category, copypasta_suspected, copypasta_evidence.
+
+    The outliers and topics without data have fixed answers, others the labeller's JSON or a rule:
+    keywords give the category, and examples that repeat make a topic suspect of copypasta.
+    """
     out = topics.withColumn("prompt", text.prompt(F.col("share"), F.col("words"), F.col("examples")))
     rule = F.lit("other")
-    for name in reversed(sorted(KEYWORDS)):
+    repeats = F.size("examples") - F.size(F.array_distinct("examples"))
+    suspected = repeats * 2 >= F.greatest(F.size("examples"), F.lit(1))
+    for name in reversed(list(KEYWORDS)):
         rule = F.when(F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(KEYWORDS[name])])), name).otherwise(rule)
-    label, category = F.array_join(F.slice("words", 1, 3), " "), rule
+    label, category = F.array_join(F.slice("words", 1, 3), " "), F.when(suspected, "copypasta_repetition").otherwise(rule)
+    description = F.concat(F.lit("Messages that share the words "), F.array_join(F.slice("words", 1, 5), ", "), F.lit("."))
+    evidence = F.when(suspected, F.concat(repeats.cast("string"), F.lit(" of "), F.size("examples").cast("string"), F.lit(" examples repeat another")))
     if labeller is not None:
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -182,11 +192,22 @@ def label_topics(topics: DataFrame, labeller: Callable[[str], str] | None = None
                 yield prompts.map(lambda p: _quietly(labeller, p))
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        out = out.withColumn("a", text.json_object(F.pandas_udf(run, "string")(F.col("prompt")), "label string, category string"))
+        out = out.withColumn("a", text.json_object(F.pandas_udf(run, "string")(F.col("prompt")), "label string, description string, category string, copypasta_suspected boolean, copypasta_evidence string"))
+        evidence = F.when(F.coalesce("a.copypasta_suspected", suspected), F.coalesce("a.copypasta_evidence", evidence))
+        suspected = F.coalesce("a.copypasta_suspected", suspected)
         label, category = F.coalesce("a.label", label), F.when(F.col("a.category").isin(*TAXONOMY), F.col("a.category")).otherwise(category)
+        description = F.coalesce("a.description", description)
     empty = F.size("words") == 0
+    fixed = (F.col("topic") == -1) | empty
     label = F.when(F.col("topic") == -1, "outlier").when(empty, "no data").otherwise(label)
-    return out.select("topic", label.alias("label"), F.when((F.col("topic") == -1) | empty, "other").otherwise(category).alias("category"))
+    return out.select(
+        "topic",
+        label.alias("label"),
+        F.when(~fixed, description).alias("description"),
+        F.when(fixed, "other").otherwise(category).alias("category"),
+        (~fixed & suspected).alias("copypasta_suspected"),
+        F.when(~fixed, evidence).alias("copypasta_evidence"),
+    )
 
 
 def _quietly(f: Callable[[str], str], x: str) -> str | None:

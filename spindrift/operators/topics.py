@@ -6,17 +6,19 @@ clusters under the least size are outliers (topic -1).
 
 from __future__ import annotations
 
-import itertools
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from functools import partial
+from random import Random
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import masks, stats, text
 from spindrift.operators.examples import sample_fraction
+from spindrift.sources.sinks import resume_stage
 from spindrift.sources.tables import Settings
 
 OUTLIER = -1
@@ -49,6 +51,30 @@ class TopicModel:
     clusters: KMeansModel
     topics: dict[int, int]
 
+    def save(self, path: str) -> None:
+        """The fitted stages and the topics of the clusters, in a folder that ``load`` reads; the topics come last."""
+        for name, stage in (("centre", self.centre), ("pca", self.pca), ("clusters", self.clusters)):
+            stage.write().overwrite().save(f"{path}/{name}")
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame(sorted(self.topics.items()), "cluster int, topic int").coalesce(1).write.mode("overwrite").parquet(f"{path}/topics")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TopicModel:
+        found = {r["cluster"]: r["topic"] for r in spark.read.parquet(f"{path}/topics").collect()}
+        return cls(StandardScalerModel.load(f"{path}/centre"), PCAModel.load(f"{path}/pca"), KMeansModel.load(f"{path}/clusters"), found)
+
+    @classmethod
+    def load_or_fit(cls, spark: SparkSession, path: str, fit) -> TopicModel:
+        """The model at ``path``, or else the one that ``fit`` makes, saved there."""
+        try:
+            return cls.load(spark, path)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        model = fit()
+        model.save(path)
+        return model
+
     def assign(self, df: DataFrame, vector: str = "vector") -> DataFrame:
         out = self.clusters.transform(reduce_vectors(df, self.centre, self.pca, vector))
         mapped = F.create_map(*[F.lit(x) for pair in self.topics.items() for x in pair])
@@ -165,19 +191,46 @@ def objective(outlier_rate: Column, coherence_: Column, n_topics: Column, weight
     return outlier_rate - weight * coherence_ + F.when(n_topics < least, 1 + (least - n_topics)).otherwise(0)
 
 
-def search(docs: DataFrame, settings: Settings, grid: list[dict] | None = None, key: str = "review_url") -> DataFrame:
-    """Trials over a grid on a sample: parameters, topics, outlier_rate, coherence, objective, the best first."""
+# The search space; least cluster sizes are shares of the corpus.
+COMPONENTS, SIZE_SHARES = (5, 15), (0.000208, 0.006241)
+#: Clusters that k-means is tried with, in place of the neighbours of a density clustering.
+CLUSTERS = (5, 50)
+
+
+def draw_trials(settings: Settings, rows: int) -> list[dict]:
+    """``n_trials`` seeded draws from the search space; the first ones are the same for any number of trials."""
+    random = Random(settings.seed)
+    share = lambda: SIZE_SHARES[0] + random.random() * (SIZE_SHARES[1] - SIZE_SHARES[0])
+    return [dict(k=random.randint(*CLUSTERS), n_components=random.randint(*COMPONENTS), min_size=max(2, round(share() * rows))) for _ in range(settings.n_trials)]
+
+
+def search(docs: DataFrame, settings: Settings, grid: list[dict] | None = None, key: str = "review_url", path: str | None = None) -> DataFrame:
+    """Trials on a sample: parameters, topics, outlier_rate, coherence, objective, the best first.
+
+    Under ``path`` each trial is a table, and a later call goes on behind the trials that are there.
+    """
+    spark = docs.sparkSession
     part = sample_fraction(docs, settings.sample_fraction, key, settings.seed).cache()
-    grid = grid or [dict(k=k, n_components=c, min_size=m) for k, c, m in itertools.product((5, 10, 20), (5, 10), (2, 5))][: settings.n_trials]
-    rows = []
-    for p in grid:
+    if grid is None:
+        n = part.count()
+        # No more components than a vector has.
+        width = part.select(F.max(F.size("vector"))).first()[0] or 1
+        grid = [p | {"n_components": min(p["n_components"], width), "k": min(p["k"], max(2, n))} for p in draw_trials(settings, n)]
+
+    def trial(p: dict) -> DataFrame:
         assigned = fit_topics(part, seed=settings.seed, **p).assign(part).cache()
         s = topic_summary(assigned).first()
         c = coherence(assigned, topic_words(assigned, n=settings.top_words)).first()["coherence"] if s["topics"] > 1 else 0.0
-        rows.append((p["k"], p["n_components"], p["min_size"], s["topics"], float(s["outlier_rate"] or 0), float(c)))
         assigned.unpersist()
+        row = (p["k"], p["n_components"], p["min_size"], s["topics"], float(s["outlier_rate"] or 0), float(c))
+        return spark.createDataFrame([row], "k int, n_components int, min_size int, topics long, outlier_rate double, coherence double")
+
+    trials = None
+    for i, p in enumerate(grid):
+        own = asdict(settings) | {"n_trials": None}
+        got = resume_stage(spark, f"{path}/trial-{i:04d}", {"trial": i, "parameters": p, "settings": own}, partial(trial, p)) if path else trial(p)
+        trials = got if trials is None else trials.unionByName(got)
     part.unpersist()
-    trials = docs.sparkSession.createDataFrame(rows, "k int, n_components int, min_size int, topics long, outlier_rate double, coherence double")
     return trials.withColumn("objective", objective(F.col("outlier_rate"), F.col("coherence"), F.col("topics"), settings.coherence_weight, settings.min_topics)).orderBy("objective", "k", "n_components", "min_size")
 
 

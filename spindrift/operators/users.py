@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import masks, stats
@@ -147,6 +147,13 @@ def toxic_in_any(labels: DataFrame, populations: Sequence[str]) -> DataFrame:
     return labels.where(some).select("user_url")
 
 
+def labelled_sentiment(labels: DataFrame, sentiment: DataFrame, population: str) -> DataFrame:
+    """(user_url, is_toxic, avg_sentiment, n) of the labelled users that have a sentiment in a population."""
+    flag, mean, n = f"is_toxic_{population}", f"avg_sentiment_{population}", f"n_{population}_sentiment"
+    rows = labels.where(F.col(flag).isNotNull()).join(sentiment.where(F.col(mean).isNotNull()), "user_url")
+    return rows.select("user_url", F.col(flag).alias("is_toxic"), F.col(mean).alias("avg_sentiment"), F.col(n).alias("n"))
+
+
 def vector_means(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, n, mean): component-wise means, combined before the shuffle; null and empty vectors do not count."""
     cells = vectors.where(F.size(vector) > 0).select(key, F.posexplode(vector).alias("i", "x"))
@@ -206,9 +213,15 @@ def substitute_vectors(features: DataFrame, replaced: DataFrame, label: str, col
 
 def text_bags(df: DataFrame, most: int | None = None, seed: int = 42) -> DataFrame:
     """(user_url, n, texts): each user's texts in hash order; ``most`` of them where a trainer caps its bags."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.xxhash64("review_url", F.lit(seed)).alias("h"), "review_url", "review_text_clean")))
-    bag = F.transform(ordered, lambda s: s["review_text_clean"])
-    return df.groupBy("user_url").agg(F.count("*").alias("n"), (F.slice(bag, 1, most) if most else bag).alias("texts"))
+    row = F.struct(F.xxhash64("review_url", F.lit(seed)).alias("h"), "review_url", "review_text_clean")
+    size = F.count("*")
+    if most:
+        # The cut is made in the sorted rows, before a bag is gathered.
+        place = Window.partitionBy("user_url").orderBy(F.xxhash64("review_url", F.lit(seed)), "review_url")
+        df = df.withColumn("_r", F.row_number().over(place))
+        row, size = F.when(F.col("_r") <= most, row), F.max("_r").cast("bigint")
+    bag = F.transform(F.array_sort(F.collect_list(row)), lambda s: s["review_text_clean"])
+    return df.groupBy("user_url").agg(size.alias("n"), bag.alias("texts"))
 
 
 def drop_own_toxic(df: DataFrame, positives: DataFrame) -> DataFrame:

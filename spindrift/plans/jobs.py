@@ -173,14 +173,14 @@ def topic_stages(spark, a):
     config = {"settings": s.to_json(), "input": a.input}
     clean = sinks.resume_stage(spark, f"{a.output}/clean", config, lambda: topics.topic_texts(_reviews(spark, a), (lang,)))
     docs = sinks.resume_stage(spark, f"{a.output}/encoded", config, lambda: topics.encodable(clean).withColumn("vector", scoring.encode_texts(F.col("review_text_clean"))))
-    trials = sinks.resume_stage(spark, f"{a.output}/trials", config, lambda: topics.search(docs, s))
+    trials = sinks.resume_stage(spark, f"{a.output}/trials", config, lambda: topics.search(docs, s, path=f"{a.output}/study"))
     best = trials.orderBy("objective", "k", "n_components", "min_size").first()
     args = (best["k"], best["n_components"], best["min_size"])
     ladder = sinks.resume_stage(spark, f"{a.output}/stability", config, lambda: topics.stability(docs, s, *args))
     fraction = topics.stable_fraction(ladder, s.stability_threshold, s.min_topics).first()[0]
     part = examples.sample_fraction(docs, fraction, "review_url", s.seed)
     size = topics.rescaled_size(args[2], round(s.sample_fraction * docs.count()), part.count())
-    model = topics.fit_topics(part, args[0], args[1], size, seed=s.seed)
+    model = topics.TopicModel.load_or_fit(spark, f"{a.output}/model", lambda: topics.fit_topics(part, args[0], args[1], size, seed=s.seed))
     assigned = sinks.resume_stage(spark, f"{a.output}/assigned", config, lambda: model.assign(docs).select("review_url", "game_id", "review_text_clean", "topic"))
     words = topics.topic_words(assigned, n=s.top_words).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda w: w["term"]).alias("words"))
     shown = examples.sample_per_group(assigned, "topic", 15, "review_url", s.seed).groupBy("topic").agg(F.array_sort(F.collect_list("review_text_clean")).alias("examples"))
@@ -236,7 +236,7 @@ def nested_cv(spark, a):
     rows = spark.read.parquet(a.input).where(F.col(f"is_toxic_{p}").isNotNull() & F.col(f"mean_{p}").isNotNull())
     if a.leave_toxic_out:
         rows = users.substitute_vectors(rows, spark.read.parquet(a.leave_toxic_out), f"is_toxic_{p}", f"mean_{p}")
-    out = classifier.nested_evaluation(rows, f"mean_{p}", f"is_toxic_{p}", "user_url", limit_positives=a.limit)
+    out = classifier.nested_evaluation(rows, f"mean_{p}", f"is_toxic_{p}", "user_url", limit_positives=a.limit, path=f"{a.output}-folds")
     sinks.write_table(out, a.output)
     sinks.write_report(spark, stats.average_precision(spark.read.parquet(a.output), "y_score", "y_true"), f"{a.output}-report.json")
 
@@ -259,7 +259,7 @@ def kappa_table(spark, a):
 
 @job
 def show_examples(spark, a):
-    games_ = tables.read_games(spark, a.games).withColumn("popular_tags", tables.tag_list(F.col("popular_tags"))) if a.games else None
+    games_ = cleaning.rename_existing(tables.read_games(spark, a.games), tables.GAME_NAMES).withColumn("popular_tags", tables.tag_list(F.col("popular_tags"))) if a.games else None
     picked = examples.pick(_reviews(spark, a), a.n, toxic=None if a.venn_set else True, venn=a.venn_set, contains=a.contains, games=games_, tag=a.game_tag, seed=a.seed)
     sinks.write_csv(examples.with_context(picked, games_), a.output)
 

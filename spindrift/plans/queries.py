@@ -501,6 +501,29 @@ def q51_portuguese_dates(spark, sf_dir):
     return tables.reviews(spark, sf_dir).select("doc_id", cleaning.portuguese_date(said).alias("review_date"))
 
 
+_RAW_GAMES = """SELECT CAST(p_partkey AS STRING) AS "gameId", CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END AS titulo, CASE WHEN p_partkey % 5 = 0 THEN 'Free' WHEN p_partkey % 11 = 0 THEN 'n/a' ELSE CAST(CAST(p_retailprice AS DOUBLE) AS STRING) END AS preco,
+ CASE WHEN p_partkey % 13 = 0 THEN 'soon' ELSE concat('2020-01-', CAST(10 + p_partkey % 19 AS STRING)) END AS "dataLancamento", 's' AS serie, p_type AS "marcadoresPopulares", CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE p_size END AS metascore FROM part"""
+
+
+@query(f"""WITH raw AS ({_RAW_GAMES}) SELECT CAST("gameId" AS BIGINT) AS game_id, titulo AS title, CASE WHEN preco = 'Free' THEN CAST(0.0 AS DOUBLE) ELSE TRY_CAST(preco AS DOUBLE) END AS price, nullif("dataLancamento", 'soon') AS release_date,
+ "marcadoresPopulares" AS popular_tags, nullif(metascore, -1) AS metascore FROM raw WHERE titulo <> ''""")
+def q53_clean_games(spark, sf_dir):
+    """Games in the source's names, each one twice."""
+    raw = spark.sql(_RAW_GAMES.replace('"', "`").replace("FROM part", "FROM {part}"), part=tables.table(spark, sf_dir, "part"))
+    return cleaning.clean_games(raw.union(raw))
+
+
+_RAW_USERS = """SELECT c_custkey AS id, concat('u/', CAST(c_custkey AS STRING)) AS "Nome", CASE WHEN c_custkey % 6 = 0 THEN '-1' ELSE CAST(c_nationkey AS STRING) END AS "Nivel", CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END AS "Ban",
+ CASE WHEN c_custkey % 9 = 0 THEN 'many' ELSE CAST(c_custkey % 30 AS STRING) END AS "Premios", CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS "Cidade", CAST(0.5 AS DOUBLE) AS toxicidade_media FROM customer"""
+
+
+@query(f"""WITH raw AS ({_RAW_USERS}) SELECT CAST(id AS STRING) AS steam_id, "Nome" AS steam_url, nullif(CAST("Nivel" AS BIGINT), -1) AS profile_level, CAST("Ban" AS BOOLEAN) AS has_ban, TRY_CAST("Premios" AS BIGINT) AS awards, nullif("Cidade", '') AS city FROM raw""")
+def q54_clean_users(spark, sf_dir):
+    """Users in the source's names, each one twice."""
+    raw = spark.sql(_RAW_USERS.replace('"', "`").replace("FROM customer", "FROM {customer}"), customer=tables.table(spark, sf_dir, "customer"))
+    return cleaning.clean_users(raw.union(raw))
+
+
 @query()
 def q52_clean_terms_all(spark, sf_dir):
     """Every review, accents folded; q50 has those that its SQL can follow."""

@@ -11,27 +11,35 @@ from pyspark.sql import types as T
 
 # Raw names to ours, columns that go, types.
 REVIEW_NAMES = {
-    "linkComentario": "review_url", "nomeUsuario": "user_url", "id": "game_id", "texto": "review_text", "dataPublicacao": "review_date",
-    "horasJogadas": "hours_played", "recomendado": "is_recommended", "language": "perspective_declared_language", "toxicity": "perspective_score",
+    "recomendado": "is_recommended", "dataPublicacao": "review_date", "texto": "review_text", "horasJogadas": "hours_played", "nomeUsuario": "user_url",
+    "linkComentario": "review_url", "id": "game_id", "language": "perspective_declared_language", "toxicity": "perspective_score",
 }
 REVIEW_DROPS = ("respostaDev", "linkDentroTexto", "title", "numComentarios", "util", "engracada", "premios")
-REVIEW_TYPES = {"review_url": "string", "user_url": "string", "review_text": "string", "review_date": "string", "hours_played": "double", "perspective_declared_language": "string", "perspective_score": "double"}
+REVIEW_TYPES = {"review_text": "string", "hours_played": "double", "user_url": "string", "review_url": "string", "perspective_declared_language": "string", "perspective_score": "double", "review_date": "string"}
 CRITICAL = ("game_id", "user_url", "review_url", "review_text")
+GAME_NAMES = {
+    "titulo": "title", "gameId": "game_id", "dataLancamento": "release_date", "dataLancamentoCedo": "early_access_date", "genres": "genres", "desenvolvedor": "developer", "destribuidor": "publisher",
+    "serie": "series", "marcadoresPopulares": "popular_tags", "gameRating": "game_rating", "reviewsRecentes": "recent_reviews_rating", "qntdReviewsRecentes": "recent_reviews_count",
+    "porcentagemRecente": "recent_reviews_percentage", "reviews": "all_time_reviews_rating", "qntdReviews": "all_time_reviews_count", "porcentagem": "all_time_reviews_percentage", "preco": "price",
+    "requisitos": "requirements", "requisitosMinimos": "minimum_requirements", "metascore": "metascore", "texto_ia": "ai_disclosure", "texto_mature": "mature_content_disclosure",
+    "qntdCuradores": "curators_count", "dlc_id": "dlc_id", "grafico": "has_review_bombing", "idiomas_interface": "languages_interface", "idiomas_dublagem": "languages_audio",
+    "idiomas_legendas": "languages_subtitles",
+}
 GAME_DROPS = ("series", "dlc_id")
+USER_NAMES = {
+    "id": "steam_id", "Nome": "steam_url", "Cidade": "city", "Estado": "state/region", "Pais": "country", "Descricao Perfil": "profile_description", "Nivel": "profile_level", "Ban": "has_ban",
+    "Dias Ultimo Ban": "days_since_last_ban", "Motivo Ban": "ban_reason", "Premios": "awards", "Insignias": "insignias", "Total de Jogos": "library_size", "Capturas de Tela": "screenshots",
+    "Itens da Oficina": "workshop_items", "Quantidade de Guias": "guides", "Quantidade de Artes": "arts", "Quantidade de Grupos": "groups", "Quantidade de Amigos": "friends_count",
+    "idiomas_comentarios": "reviews_langs",
+}
+USER_DROPS = (
+    "comentarios_nao_toxicos", "comentarios_toxicos", "Quantidade de Comentarios", "Quantidade de Comentarios no Perfil", "toxicidade_media", "toxicidade_desvio_padrao", "num_comentarios_total",
+    "num_comentarios_recomendados", "num_comentarios_nao_recomendados",
+)
+USER_STRINGS = ("steam_id", "steam_url", "city", "state/region", "country", "profile_description", "ban_reason")
 USER_COUNTERS = ("profile_level", "days_since_last_ban", "awards", "insignias", "library_size", "screenshots", "workshop_items", "guides", "arts", "groups", "friends_count")
 PROFILE_FEATURES = ("profile_level", "has_ban", "days_since_last_ban", "awards", "insignias", "library_size", "screenshots", "workshop_items", "guides", "arts", "groups", "friends_count")
 
-GAME_SCHEMA = T.StructType(
-    [
-        T.StructField("game_id", T.StringType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("popular_tags", T.StringType()),
-        T.StructField("price", T.StringType()),
-        T.StructField("release_date", T.StringType()),
-        T.StructField("early_access_date", T.StringType()),
-    ]
-)
-
 #: Stand-in for the review table: the same SQL runs on both engines.  The scores are synthetic.
 REVIEWS_SQL = """
 SELECT concat('r/', CAST(doc_id AS STRING)) AS review_url, text AS review_text, lang AS review_lang,
@@ -81,8 +89,15 @@ def load_language(spark: SparkSession, path: str, language: str) -> DataFrame:
 
 
 def read_games(spark: SparkSession, path: str) -> DataFrame:
-    """Games from a JSON array document; tags come as a list or as one string."""
-    return spark.read.schema(GAME_SCHEMA).option("multiLine", True).json(path)
+    """Games from a JSON array document, every column of it; lists come as JSON text, as tags may be a list or one string."""
+    df = spark.read.option("multiLine", True).json(path)
+    nested = (T.ArrayType, T.StructType, T.MapType)
+    return df.withColumns({f.name: F.to_json(F.col(f"`{f.name}`")) for f in df.schema.fields if isinstance(f.dataType, nested)})
+
+
+def flagged(df: DataFrame, flag: str) -> DataFrame:
+    """The rows whose flag is set (true, or 1); a null flag is not set."""
+    return df.where(F.coalesce(F.col(flag).cast("boolean"), F.lit(False)))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:

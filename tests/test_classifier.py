@@ -18,6 +18,20 @@ def test_nested_evaluation(bags):
     assert stats.average_precision(out, "y_score", "y_true").first()["average_precision"] == pytest.approx(1.0)
 
 
+def test_folds_go_on_where_they_stopped(bags, tmp_path, monkeypatch):
+    path, made = f"file://{tmp_path}/folds", []
+    first = classifier.nested_evaluation(bags, "x", "y", "user_url", costs=(1.0,), limit_positives=2, path=path)
+    first = sorted(map(tuple, first.collect()))
+    fit = classifier.fit_logistic
+    monkeypatch.setattr(classifier, "fit_logistic", lambda *a: made.append(1) or fit(*a))
+    again = classifier.nested_evaluation(bags, "x", "y", "user_url", costs=(1.0,), limit_positives=2, path=path)
+    assert sorted(map(tuple, again.collect())) == first and not made
+    more = classifier.nested_evaluation(bags, "x", "y", "user_url", costs=(1.0,), limit_positives=3, path=path)
+    assert more.where("y_true = 1").count() == 3 and len(made) == 4
+    with pytest.raises(ValueError, match="another configuration"):
+        classifier.nested_evaluation(bags, "x", "y", "user_url", costs=(2.0,), limit_positives=2, path=path)
+
+
 def test_no_positives(bags):
     assert classifier.nested_evaluation(bags.where("not y"), "x", "y", "user_url").count() == 0
 
@@ -45,11 +59,20 @@ def test_substituted_vectors(spark):
     assert sorted((x.user_url, x.x) for x in users.substitute_vectors(f, r, "y", "x").collect()) == [("a", [9.0]), ("c", [1.0])]
 
 
-def test_topic_search_and_stability(spark):
+def test_topic_search_and_stability(spark, tmp_path, monkeypatch):
     rows = [(f"r{i}", f"{w} {w}x common", [float(i % 2), float(i % 2) * 2, i / 100.0]) for i, w in enumerate(["lag", "story"] * 20)]
     docs = spark.createDataFrame(rows, "review_url string, review_text_clean string, vector array<double>")
     s = Settings(sample_fraction=1.0, min_topics=2, stability_fractions=(0.5,))
     best = topics.search(docs, s, grid=[dict(k=2, n_components=2, min_size=2)]).first()
     assert best["topics"] == 2 and best["outlier_rate"] == 0
+    path, tried, fit = f"file://{tmp_path}", [], topics.fit_topics
+    monkeypatch.setattr(topics, "fit_topics", lambda *a, **k: tried.append(1) or fit(*a, **k))
+    few = topics.search(docs, s.with_(n_trials=2), path=f"{path}/study").collect()
+    more = topics.search(docs, s.with_(n_trials=3), path=f"{path}/study").collect()
+    assert len(tried) == 3 and len(more) == 3 and set(few) <= set(more)
+    model = topics.TopicModel.load_or_fit(spark, f"{path}/model", lambda: topics.fit_topics(docs, 2, 2, 2))
+    loaded = topics.TopicModel.load_or_fit(spark, f"{path}/model", lambda: 1 / 0)
+    assert loaded.topics == model.topics and sorted(loaded.assign(docs).select("review_url", "topic").collect()) == sorted(model.assign(docs).select("review_url", "topic").collect())
+    monkeypatch.undo()
     assert topics.stability(docs, s, 2, 2, 2).first()["overlap"] > 0.9
     assert topics.topic_summary(topics.fit_topics(docs, 2, 2, 50).assign(docs)).first()["outlier_rate"] == 1.0

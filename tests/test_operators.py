@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import ranks, stats
 from spindrift.operators import annotation, cleaning, examples, reports, scoring, tfidf, topics, users
-from spindrift.sources import sinks, tables
+from spindrift.sources import sinks, stage, tables
 
 
 def test_clean_reviews(spark):
@@ -38,6 +39,55 @@ def test_clean_games_and_users(spark, tmp_path):
     assert sorted((r.steam_id, r.awards, r.groups) for r in cleaning.clean_users(raw).collect())[1] == ("s2", None, 2)
 
 
+def test_raw_names_of_games_and_users(spark, tmp_path):
+    row = {"gameId": 1, "titulo": "A", "preco": "Free", "dataLancamento": "2 Jan, 2020", "serie": "s", "dlc_id": "d", "marcadoresPopulares": ["x", "Y"], "qntdReviews": 7, "metascore": -1, "grafico": True, "idiomas_interface": ["en"]}
+    (tmp_path / "g.json").write_text(json.dumps([row, row | {"gameId": 2, "titulo": "", "preco": "1.5"}, row | {"gameId": 3, "preco": "1.5"}]))
+    games = cleaning.clean_games(tables.read_games(spark, str(tmp_path / "g.json")))
+    got = {r.game_id: r for r in games.collect()}
+    assert set(got) == {1, 3} and not {"series", "dlc_id", "serie", "titulo"} & set(games.columns)
+    assert (got[1].price, got[1].release_date, got[1].all_time_reviews_count, got[1].metascore, got[1].has_review_bombing, got[1].languages_interface) == (0.0, "2020-01-02", 7, None, True, '["en"]')
+    assert len(tables.GAME_NAMES) == 28 and len(tables.USER_NAMES) == 20
+    with pytest.raises(ValueError, match="missing columns"):
+        cleaning.clean_games(spark.createDataFrame([("A",)], "name string"))
+    users_ = spark.createDataFrame([(5, "u/", "true", "3", "-1", 0.5), (5, "u/", "true", "3", "-1", 0.5)], "id long, Nome string, Ban string, `Total de Jogos` string, Premios string, toxicidade_media double")
+    (r,) = cleaning.clean_users(users_).collect()
+    assert (r.steam_id, r.steam_url, r.has_ban, r.library_size, r.awards) == ("5", "u/", True, 3, None) and "toxicidade_media" not in r.asDict()
+    with pytest.raises(ValueError, match="steam_id"):
+        cleaning.clean_users(users_.drop("id"))
+
+
+def test_draws_folds_and_bags(spark):
+    rows = spark.createDataFrame([(f"k{i}", i % 10 == 0, f"t{i}") for i in range(200)], "user_url string, y boolean, text string")
+    folds = {(r.y, r.fold): r.n for r in examples.stratified_folds(rows, "y", "user_url").groupBy("y", "fold").agg(F.count("*").alias("n")).collect()}
+    assert folds == {(y, f): 36 if not y else 4 for y in (True, False) for f in range(5)}
+    drawn = examples.draw_balanced(rows, "y", "user_url", 400).collect()
+    assert sorted(r.draw for r in drawn) == list(range(400)) and 150 < sum(r.y for r in drawn) < 250
+    assert {r.draw: r.user_url for r in drawn} == {r.draw: r.user_url for r in examples.draw_balanced(rows.repartition(3), "y", "user_url", 400).collect()}
+    bag = spark.createDataFrame([("u", f"r{i}", f"t{i}") for i in range(9)], "user_url string, review_url string, review_text_clean string")
+    (whole,), (cut,) = users.text_bags(bag).collect(), users.text_bags(bag, 4).collect()
+    assert (whole.n, cut.n, cut.texts) == (9, 9, whole.texts[:4])
+    assert tables.flagged(spark.createDataFrame([(True, 1), (None, 2), (False, 3)], "f boolean, i int"), "f").count() == 1
+    labels = spark.createDataFrame([("a", True), ("b", None)], "user_url string, is_toxic_en boolean")
+    mood = spark.createDataFrame([("a", 2.0, 3), ("b", 2.0, 3)], "user_url string, avg_sentiment_en double, n_en_sentiment long")
+    assert [tuple(r) for r in users.labelled_sentiment(labels, mood, "en").collect()] == [("a", True, 2.0, 3)]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stage.shared_folder(Session)
+    Session.conf["spark.checkpoint.dir"] = "hdfs://x/"
+    assert stage.shared_folder(Session) == "hdfs://x"
+
+
 def test_undetermined_breakdown_tells_rows_apart(spark):
     long = "letters enough for a detector"
     rows = [(None, "und", 0.0), ("", "und", 0.0), ("short", "und", 0.5), (long, "und", 0.0), (long, "und", None), (long, "und", 0.8), (long, "en", 0.0), ("", "fr", 0.9), (long, None, 0.0)]
@@ -189,9 +239,15 @@ def test_topics_rules(spark):
     assert -1 <= topics.coherence(docs, two).first()[0] <= 1
     assert topics.coherence(docs, two.where("topic = 0")).first()[0] == 0.0
     t = spark.createDataFrame([(-1, 50.0, ["a"], ["x"]), (0, 25.0, ["lag", "fps"], ["x"]), (1, 25.0, [], [])], "topic int, share double, words array<string>, examples array<string>")
-    got = {r.topic: (r.label, r.category) for r in scoring.label_topics(t, lambda p: 'ok {"label":"Slow","category":"performance"}').collect()}
-    assert got == {-1: ("outlier", "other"), 0: ("Slow", "performance"), 1: ("no data", "other")}
-    assert {r.topic: r.category for r in scoring.label_topics(t).collect()}[0] == "performance"
+    got = {r.topic: (r.label, r.category) for r in scoring.label_topics(t, lambda p: 'ok {"label":"Slow","category":"product_complaint"}').collect()}
+    assert got == {-1: ("outlier", "other"), 0: ("Slow", "product_complaint"), 1: ("no data", "other")}
+    assert {r.topic: r.category for r in scoring.label_topics(t).collect()}[0] == "product_complaint"
+    assert {r.topic: r.category for r in scoring.label_topics(t, lambda p: '{"label":"Slow","category":"performance"}').collect()}[0] == "product_complaint"
+    again = spark.createDataFrame([(2, 1.0, ["buy"], ["x", "x", "x"])], "topic int, share double, words array<string>, examples array<string>")
+    r = scoring.label_topics(again).first()
+    assert (r.category, r.copypasta_suspected, r.copypasta_evidence) == ("copypasta_repetition", True, "2 of 3 examples repeat another")
+    r = scoring.label_topics(again, lambda p: '{"label":"Buy","description":"Messages that sell.","category":"other","copypasta_suspected":false}').first()
+    assert (r.label, r.description, r.category, r.copypasta_suspected, r.copypasta_evidence) == ("Buy", "Messages that sell.", "other", False, None)
 
 
 def test_sinks(spark, tmp_path):

@@ -81,3 +81,24 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_training_data_queries(tmp_path):
+    """A copy of the tree without both folders: whatever is left of the pipeline, the rest is registered and imports."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for name in ("spindrift", "__spark_entry__.py", "bench.py"):
+        (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    shutil.rmtree(tmp_path / "spindrift" / "llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q), 'pipeline' in q)"
+    for left in (False, True):
+        if left and not (root / "corpus_pipeline.py").exists():
+            continue
+        if left:
+            shutil.copy(root / "corpus_pipeline.py", tmp_path)
+        ran = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+        assert ran.stdout.split() == [str(len(QUERIES)), "False"], ran.stderr
