@@ -15,6 +15,10 @@ an anchor occurrence.  Of these runs only hashes are shuffled:
    neighbouring places first by the bytes that all of them hold, and one by one only where that
    core comes again.
 
+The same is done over words in place of bytes for ``passages``: the words of a text that strings of
+so many words cover which come again.  A passage of over 50 words may have under LENGTH bytes (half
+of such strings have 319 or less in the given tables); it is counted there and not removed.
+
 ``keep_first`` removes later copies only (first by doc_id, then by the text's hash, then by place);
 else every copy goes.
 
@@ -38,6 +42,8 @@ from spindrift.llm import hashing, suffixes
 from spindrift.sources.stage import Stages
 
 LENGTH, GRAM = 400, 200
+#: Words of a passage, at least.
+PASSAGE = 51
 #: Kinds of context of one anchor in a shard, and bytes of contexts that one suffix order spans, about.
 SHARD, BUFFER = 256, 1 << 21
 STEP = 16
@@ -90,13 +96,21 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _runs(length: int, gram: int):
+def _units(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What strings are made of, bytes or the hashes of words, and where each text's begin."""
+    if not words:
+        return data, offsets
+    hashes, _, _, first = hashing.words(data, offsets, lower=False)
+    return hashes, first
+
+
+def _runs(length: int, gram: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = hashing.buffers(batch.column("text"))
             for a, b in hashing.chunks(offsets):
-                part = offsets[a : b + 1] - offsets[a]
-                text, lo, hi, h, context = anchor_runs(data[offsets[a] : offsets[b]], part, length, gram)
+                units, part = _units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                text, lo, hi, h, context = anchor_runs(units, part, length, gram)
                 own = pa.array(text + a)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(own), batch.column("k").take(own), pa.array((lo - part[text]).astype(np.int32)), pa.array((hi - part[text]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(context.view(np.int64))],
@@ -106,16 +120,18 @@ def _runs(length: int, gram: int):
     return run
 
 
-def _cut_contexts(length: int):
+def _cut_contexts(length: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = hashing.buffers(batch.column("text"))
-            wanted = batch.column("wanted").to_pylist()
+            wanted, keys = batch.column("wanted").to_pylist(), list(zip(batch.column("doc_id").to_pylist(), batch.column("k").to_pylist(), strict=True))
             rows: list[tuple] = []
-            for i, (doc_id, k) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("k").to_pylist(), strict=True)):
-                for w in wanted[i]:
-                    piece = data[offsets[i] + w["lo"] : offsets[i] + w["hi"] + length].tobytes()
-                    rows.append((doc_id, k, w["lo"], w["h"], w["n"], w["kinds"], piece))
+            for a, b in hashing.chunks(offsets):
+                units, at = _units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                for i in range(a, b):
+                    for w in wanted[i]:
+                        piece = units[at[i - a] + w["lo"] : at[i - a] + w["hi"] + length].tobytes()
+                        rows.append((*keys[i], w["lo"], w["h"], w["n"], w["kinds"], piece))
             for a in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows[a : a + 2000], strict=True), (batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
@@ -125,21 +141,22 @@ def _cut_contexts(length: int):
     return run
 
 
-def _shard_matches(length: int, gram: int, keep_first: bool):
+def _shard_matches(length: int, gram: int, keep_first: bool, words: bool):
     """Contexts, by anchor and shard and in order of position, to the strings that have a match in their shard."""
 
     window = length - gram + 1
+    stride = min(STEP, max(1, length // 2))
 
     def work(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        sizes = np.array([len(r[6]) for r in rows], dtype=np.int64)
+        sizes = np.array([len(r[6]) for r in rows], dtype=np.int64) // (8 if words else 1)
         # A symbol of its own after each context keeps strings from crossing.
         begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         symbols = np.zeros(int((sizes + 1).sum()), dtype=np.int64)
-        data = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint8)
+        data = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint64 if words else np.uint8)
         inside = np.ones(len(symbols), dtype=bool)
         inside[begins + sizes] = False
-        symbols[inside] = data
-        symbols[begins + sizes] = 256 + np.arange(len(rows))
+        symbols[inside] = np.unique(data, return_inverse=True)[1] if words else data
+        symbols[begins + sizes] = symbols.max() + 1 + np.arange(len(rows))
         counts = sizes - length + 1
         owner = np.repeat(np.arange(len(rows)), counts)
         place = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
@@ -164,11 +181,11 @@ def _shard_matches(length: int, gram: int, keep_first: bool):
                 grams = hashing.range_hash(pre, begin + np.arange(window), begin + np.arange(window) + gram) & ~PLACE
                 anchor = window - 1 - int(grams[::-1].argmin())
                 first = np.flatnonzero(~earlier[cut[i] : cut[i + 1]])
-                step = (anchor - first) // STEP
+                step = (anchor - first) // stride
                 for b in np.unique(step):
                     part = first[step == b]
-                    # Starts anchor - STEP * b - (0 .. STEP - 1): what all of these strings hold.
-                    left, right = begin + anchor - STEP * b, begin + anchor - STEP * (b + 1) + 1 + length
+                    # Starts anchor - stride * b - (0 .. stride - 1): what all of these strings hold.
+                    left, right = begin + anchor - stride * b, begin + anchor - stride * (b + 1) + 1 + length
                     core = hashing.range_hash(pre, np.array([left]), np.array([right])).view(np.int64)[0]
                     mine.append({"core": int(core) ^ int(b), "at": (part + lo).tolist(), "windows": hashes[cut[i] + part].tolist(), "done": own[part].tolist()})
             groups.append(mine)
@@ -197,46 +214,54 @@ def _shard_matches(length: int, gram: int, keep_first: bool):
     return run
 
 
+def _covered(spans: list[dict] | None, n: int) -> np.ndarray:
+    """Which of n places the spans (from a, before b) cover."""
+    cover = np.zeros(n + 1, dtype=np.int32)
+    np.add.at(cover, [x["a"] for x in spans or ()], 1)
+    np.add.at(cover, [x["b"] for x in spans or ()], -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = hashing.buffers(batch.column("text"))
-        sizes, removed, runs, digests, kept = [], [], [], [], []
-        for i, spans in enumerate(batch.column("spans").to_pylist()):
+        sizes, removed, runs, digests, kept, passages = [], [], [], [], [], []
+        for i, (spans, words) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("words").to_pylist(), strict=True)):
             own = data[offsets[i] : offsets[i + 1]]
             sizes.append(len(own))
             if not spans:
                 rest, n, gone = own.tobytes(), 0, 0
             else:
-                cover = np.zeros(len(own) + 1, dtype=np.int32)
-                np.add.at(cover, [s["a"] for s in spans], 1)
-                np.add.at(cover, [s["b"] for s in spans], -1)
-                lost = np.cumsum(cover[:-1]) > 0
+                lost = _covered(spans, len(own))
                 rest, gone = own[~lost].tobytes(), int(lost.sum())
                 n = int((np.diff(np.r_[False, lost]) & lost).sum())
             removed.append(gone)
             runs.append(n)
             kept.append(rest)
             digests.append(hashlib.sha256(rest).hexdigest())
+            passages.append(int(_covered(words, max(x["b"] for x in words)).sum()) if words else 0)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            [
+                *[batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())],
+                *[pa.array(passages, pa.int64()), pa.array(kept, pa.binary())],
+            ],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"],
         )
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, stages: Stages | None = None) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    spark = documents.sparkSession
-    stages = stages or Stages(spark, "suffixes")
-    texts = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("k", F.xxhash64("doc_id", "text"))
+def repeated_spans(texts: DataFrame, length: int, gram: int, keep_first: bool, words: bool, stages: Stages) -> DataFrame:
+    """(doc_id, k, spans) of the texts (doc_id, k, text) that hold a string of ``length`` bytes (or words) which comes again."""
+    spark = texts.sparkSession
     kind = dict(texts.dtypes)["doc_id"]
-    runs = texts.where(F.octet_length("text") >= length).select("doc_id", "k", "text").mapInArrow(_runs(length, gram), f"doc_id {kind}, k long, lo int, hi int, h long, context long")
+    # So many words have a space less than twice as many bytes.
+    long = F.octet_length("text") >= (2 * length - 1 if words else length)
+    runs = texts.where(long).select("doc_id", "k", "text").mapInArrow(_runs(length, gram, words), f"doc_id {kind}, k long, lo int, hi int, h long, context long")
     runs = stages.save(runs, "runs")
 
-    again = runs.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    again_ = runs.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     # A table of its own, so that a hot anchor's partition of the join can be split.
-    again = stages.save(again, "again")
-    repeated = stages.save(runs.join(again, "h"), "repeated")
+    again_ = stages.save(again_, "again")
+    repeated = stages.save(runs.join(again_, "h"), "repeated")
     stages.drop(runs)
     kinds = repeated.groupBy("h", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "lo", "hi")).alias("r"))
     kinds = stages.save(kinds.select("h", "context", "n", "r.*"), "kinds")
@@ -253,14 +278,14 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     t, w = texts.alias("t"), wanted.alias("w")
     same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.k") == F.col("w.k"))
     # Rows that repeat are met once: their context is one kind.
-    cut = t.join(w, same).select("t.doc_id", "t.k", "t.text", "w.wanted").mapInArrow(_cut_contexts(length), f"doc_id {kind}, k long, lo int, h long, n long, kinds long, piece binary")
+    cut = t.join(w, same).select("t.doc_id", "t.k", "t.text", "w.wanted").mapInArrow(_cut_contexts(length, words), f"doc_id {kind}, k long, lo int, h long, n long, kinds long, piece binary")
     shards = F.ceil(F.col("kinds") / SHARD).cast("long")
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "k", "lo"), shards))
     # By number, as suffix orders take long for their few bytes and small partitions would be put together.
     n_parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = cut.repartition(n_parts, "h", "shard").sortWithinPartitions("h", "shard", "doc_id", "k", "lo")
     matched = cut.select("doc_id", "k", "lo", "h", "n", "kinds", "piece", "shard").mapInArrow(
-        _shard_matches(length, gram, keep_first), f"doc_id {kind}, k long, h long, spans array<struct<a:int,b:int>>, groups array<struct<core:long,at:array<int>,windows:array<long>,done:array<boolean>>>"
+        _shard_matches(length, gram, keep_first, words), f"doc_id {kind}, k long, h long, spans array<struct<a:int,b:int>>, groups array<struct<core:long,at:array<int>,windows:array<long>,done:array<boolean>>>"
     )
     matched = stages.save(matched, "matched")
     inner = matched.select("doc_id", "k", F.explode("spans").alias("s")).select("doc_id", "k", "s.a", "s.b")
@@ -277,6 +302,23 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     across = across.select("doc_id", "k", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
 
     spans = whole.union(inner).union(across).groupBy("doc_id", "k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    spans = stages.save(spans, "spans").alias("s")
-    same = F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.k") == F.col("s.k"))
-    return t.join(spans, same, "left").select("t.doc_id", "t.text", "s.spans").mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = stages.save(spans, "spans")
+    stages.drop(again_, repeated, kinds, matched, firsts)
+    return spans
+
+
+def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, passages: int = PASSAGE, stages: Stages | None = None) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, kept (the remaining bytes)."""
+    stages = stages or Stages(documents.sparkSession, "suffixes")
+    texts = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumn("k", F.xxhash64("doc_id", "text"))
+    kind = dict(texts.dtypes)["doc_id"]
+    gone = repeated_spans(texts, length, gram, keep_first, False, stages)
+    again = repeated_spans(texts, passages, (passages + 1) // 2, keep_first, True, stages).withColumnRenamed("spans", "words")
+    both = gone.withColumn("words", F.lit(None).cast(again.schema["words"].dataType)).unionByName(again.withColumn("spans", F.lit(None).cast(gone.schema["spans"].dataType)))
+    # A text has one row on either side at most.
+    both = both.groupBy("doc_id", "k").agg(F.first("spans", ignorenulls=True).alias("spans"), F.first("words", ignorenulls=True).alias("words"))
+    t, g = texts.alias("t"), both.alias("g")
+    out = t.join(g, F.col("t.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("t.k") == F.col("g.k")), "left")
+    fields = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, kept binary"
+    return out.select("t.doc_id", "t.text", "g.spans", "g.words").mapInArrow(_remove, fields)

@@ -116,6 +116,34 @@ def test_repeats_equal_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 40)
 
 
+def brute_passages(texts, words):
+    """Words of each text that strings of so many words cover which start anywhere else too."""
+    data = [re.findall("[^\\x20\\x09-\\x0D]+", t or "") for t in texts]
+    counts = Counter(tuple(t[s : s + words]) for t in data for s in range(len(t) - words + 1))
+    out = []
+    for t in data:
+        lost = set()
+        for s in range(len(t) - words + 1):
+            if counts[tuple(t[s : s + words])] > 1:
+                lost |= set(range(s, s + words))
+        out.append(len(lost))
+    return out
+
+
+def test_passages_equal_brute_force(spark):
+    rnd = random.Random(5)
+    noise = lambda n: " ".join(rnd.choice("ab cd éf gh ij kl mn".split()) + str(rnd.randint(0, 400)) for _ in range(n))
+    shared = [noise(n) for n in (8, 9, 14, 30)]
+    texts = [None, "", noise(8), "x " * 40, "X " * 40, shared[2] + " " + shared[2]]
+    for i in range(60):
+        texts.append(noise(rnd.randint(0, 12)) + rnd.choice([" ", "\n", "  \t"]) + rnd.choice(shared).replace(" ", rnd.choice([" ", "\n"])) + " " + noise(rnd.randint(0, 12)))
+    # More kinds of context of one passage than a shard holds.
+    texts += [noise(3) + " " + shared[2] + " " + noise(3) for _ in range(400)]
+    got = {r.doc_id: r.n_passage_words for r in suffix_dedup.remove_repeats(documents(spark, texts), passages=9).collect()}
+    want = brute_passages(texts, 9)
+    assert [got[i] for i in range(len(texts))] == want and 0 in want and max(want) >= 30
+
+
 def test_repeats_keep_the_first(spark):
     texts = [("a" * 5 + f"{i:03d}" + "SHARED PASSAGE OF FORTY BYTES AND A FEW MORE" + "wxyz"[i] * 4) for i in range(4)]
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(documents(spark, texts), length=40, gram=20, keep_first=True).collect()}
