@@ -32,7 +32,7 @@ from spindrift.llm import hashing
 from spindrift.llm.quality import fold
 from spindrift.sources.stage import Stages
 
-FREQUENT, CLUSTERED, CLASSES, ROUNDS = 1 << 18, 8192, 64, 4
+FREQUENT, CLUSTERED, CLASSES, ROUNDS = 1 << 19, 8192, 64, 4
 #: Words up to which there are CLASSES classes.
 SMALL = 1 << 16
 #: Neighbour counts that are weighed at once.
@@ -42,7 +42,7 @@ SHARE = 5.0
 #: The fold that no statistic sees.
 HELD = 1
 #: Distinct words that a task gathers before it hands them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +236,7 @@ def _tail(shared):
             parts.append((np.r_[h[at], h[at]], np.r_[cls[at + 1], width + _before(cls, starts, width - 1)[at]], np.ones(2 * len(at), dtype=np.int64)))
             pending += 2 * len(at)
             # Rare words seldom repeat in a task: little is gained by holding more.
-            if pending > FLUSH // 8:
+            if pending > FLUSH // 4:
                 yield from out(*merged())
                 parts, pending = [], 0
         if parts:
