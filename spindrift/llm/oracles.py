@@ -43,10 +43,11 @@ _NAME = "CASE k " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(secret
 
 OP9 = f"""
 WITH s AS ({_spans(0, secrets.ASSIGN, "regexp_extract(hit, PATTERN, 2)", "length(regexp_extract(hit, PATTERN, 2)) >= 6")} UNION ALL {_spans(1, secrets.ACCESS)} UNION ALL {_spans(2, secrets.HEX)} UNION ALL {_spans(3, secrets.WIDE, where=_LOOKS)}),
-own AS (SELECT v, count(DISTINCT coalesce(source, '')) owners FROM s GROUP BY 1), j AS (SELECT s.*, owners <= {secrets.EXAMPLE_OWNERS} AS live FROM s JOIN own USING (v)),
+own AS (SELECT v, count(DISTINCT coalesce(source, '')) owners, count(DISTINCT doc_id) repositories FROM s GROUP BY 1),
+j AS (SELECT s.*, owners <= {secrets.EXAMPLE_OWNERS} AND repositories <= {secrets.EXAMPLE_REPOSITORIES} AS live FROM s JOIN own USING (v)),
 u AS (SELECT * FROM j WHERE k < 3 OR live AND NOT EXISTS (SELECT 1 FROM j x WHERE x.doc_id = j.doc_id AND x.k < 3 AND x.a < j.b AND j.a < x.b)),
 d AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) n_assign, count(*) FILTER (WHERE k = 1) n_access, count(*) FILTER (WHERE k = 2) n_hex,
  string_agg({_NAME}, ',' ORDER BY a, k) FILTER (WHERE k < 3) base, string_agg({_NAME}, ',' ORDER BY a, k) spans FROM u GROUP BY doc_id),
-l AS (SELECT doc_id, count(*) FILTER (WHERE live) n_live FROM j GROUP BY doc_id)
+l AS (SELECT doc_id, count(*) FILTER (WHERE live) n_live FROM u GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
 FROM documents LEFT JOIN d ON d.doc_id = documents.doc_id LEFT JOIN l ON l.doc_id = documents.doc_id"""

@@ -79,7 +79,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def scan_secrets(documents: DataFrame, keep: tuple[str, ...] = (), stages: Stages | None = None) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base (array of spans), spans (all, by start), n_live, then ``keep``.
 
-    ``n_live`` counts the document's spans whose value few owners and few documents hold.
+    ``n_live`` counts those of ``spans`` whose value few owners and few documents hold.
     """
     stages = stages or Stages(documents.sparkSession, "secrets")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -98,10 +98,11 @@ def scan_secrets(documents: DataFrame, keep: tuple[str, ...] = (), stages: Stage
     # Spans with a value: what may be judged by ownership; the base ones keep their place whatever the verdict.
     every = found.where("size(assign) + size(access) + size(hexes) + size(wide) > 0").select("row", "doc_id", "owner", F.explode(F.concat("assign", "access", "hexes", "wide")).alias("s"))
     every = every.select("row", "doc_id", "owner", "s", F.xxhash64("s.value").alias("hash"))
-    owned = ownership(every.select("hash", "owner", "doc_id"))
+    # A table of its own, so that a frequent value's partition of the join can be split.
+    owned = stages.save(ownership(every.select("hash", "owner", "doc_id")), "owned")
     judged = every.join(owned, "hash").withColumn("live", (F.col("owners") <= EXAMPLE_OWNERS) & (F.col("repositories") <= EXAMPLE_REPOSITORIES))
     judged = judged.groupBy("row").agg(
-        F.count_if("live").alias("n_live"), F.collect_list(F.when(F.col("live") & (F.col("s.kind") == 3), F.col("s"))).alias("added")
+        F.count_if(F.col("live") & (F.col("s.kind") < 3)).alias("n_live"), F.collect_list(F.when(F.col("live") & (F.col("s.kind") == 3), F.col("s"))).alias("added")
     )
 
     out = found.alias("f").join(judged.alias("j"), F.col("f.row") == F.col("j.row"), "left")
@@ -116,7 +117,7 @@ def scan_secrets(documents: DataFrame, keep: tuple[str, ...] = (), stages: Stage
         F.size("f.hexes").cast("long").alias("n_hex"),
         base.alias("base"),
         F.array_sort(F.concat(base, fresh)).alias("spans"),
-        F.coalesce(F.col("j.n_live"), F.lit(0)).cast("long").alias("n_live"),
+        (F.coalesce(F.col("j.n_live"), F.lit(0)) + F.size(fresh)).cast("long").alias("n_live"),
         *[F.col(f"f.keep_{i}").alias(c) for i, c in enumerate(keep)],
     )
 
