@@ -52,6 +52,7 @@ BLOCKS = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # A new one of these ends an open one of the same kind (or of those listed).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+# Words that a class, id or role may hold beside an article's own; inside an article only whole names count.
 ROLES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|menubar|breadcrumb\w*|sidebar|side|widget\w*|footer|header|masthead|cookie\w*|consent|notice\w*|alert|popup|modal|"
     r"newsletter|subscribe|signup|login|search|share\w*|social\w*|related|recommend\w*|comment\w*|reply|replies|disqus|respond|pagination|pager|toolbar|skip|copyright|legal|contentinfo|complementary)(?:$|[\s_-])",
@@ -59,23 +60,34 @@ ROLES = re.compile(
 )
 
 
-def _is_chrome(name: str, attrs: str, in_main: bool) -> bool:
+NAMES = re.compile(ROLES.pattern.replace(r"(?:^|[\s_-])", "^", 1).replace(r"(?:$|[\s_-])", r"(?:[\s_-]?(?:\d+|s|area|bar|block|body|box|button|buttons|container|content|form|group|inner|item|items|link|links|list|panel|section|thread|wrap|wrapper|unit))*$", 1), re.I)
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment\w*|reply|replies|disqus|respond)(?:$|[\s_-])", re.I)
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "td", "th", "dd", "dt", "figcaption"}
+
+
+def _is_chrome(name: str, attrs: str, in_main: bool) -> int:
+    """0: no; 1: by a name that an article inside outweighs; 2: whatever is inside."""
     if name in CHROME:
         # The header of an article holds its title.
-        if name == "header" and in_main:
-            return False
-        return True
+        return 0 if name == "header" and in_main else 2
     if not attrs or name in ("html", "body") or name in MAIN:
-        return False
-    return any(ROLES.search(a or b or c) for _, a, b, c in ATTR.findall(attrs))
+        return 0
+    values = [a or b or c for _, a, b, c in ATTR.findall(attrs)]
+    if any(COMMENTS.search(v) for v in values):
+        return 2
+    if not in_main:
+        return int(any(ROLES.search(v) for v in values))
+    # An article's own text keeps its place whatever a class word may say of it.
+    return 0 if name in PROSE else int(any(NAMES.search(v) for value in values for v in value.split()))
 
 
 def page_blocks(html: str) -> list[tuple[str, bool]]:
     """(text, in_main) of each block that the markup does not rule out, in page order."""
     out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, int, bool]] = []  # name, 0 nothing / 1 main / 2 chrome, block
+    stack: list[tuple[str, int, bool]] = []  # name, 0 nothing / 1 main / 2 chrome by name / 3 chrome / 4 main inside chrome by name, block
     parts: list[str] = []
-    chrome = main = 0
+    chrome = main = soft = 0
+    outer: list[int] = []
     at = 0
 
     def flush() -> None:
@@ -86,10 +98,13 @@ def page_blocks(html: str) -> list[tuple[str, bool]]:
                 out.append((text, main > 0))
 
     def pop() -> None:
-        nonlocal chrome, main
+        nonlocal chrome, main, soft
         _, kind, _ = stack.pop()
-        main -= kind == 1
-        chrome -= kind == 2
+        main -= kind in (1, 4)
+        chrome -= kind in (2, 3)
+        soft -= kind == 2
+        if kind == 4:
+            chrome = soft = outer.pop()
 
     lower = None
     for m in iter(lambda: TAG.search(html, at), None):
@@ -141,9 +156,15 @@ def page_blocks(html: str) -> list[tuple[str, bool]]:
                     pop()
         if name in VOID or m[3].endswith("/") and name in VOID:
             continue
-        kind = 1 if name in MAIN else 2 if _is_chrome(name, m[3], main > 0) else 0
-        main += kind == 1
-        chrome += kind == 2
+        kind = (1 if not chrome or chrome > soft or main else 4) if name in MAIN else (0, 2, 3)[_is_chrome(name, m[3], main > 0)]
+        main += kind in (1, 4)
+        chrome += kind in (2, 3)
+        soft += kind == 2
+        if kind == 4:
+            # Nothing but class words stands against it: it is read like any article.
+            outer.append(soft)
+            chrome = soft = 0
+            parts.clear()
         stack.append((name, kind, name in BLOCKS))
     if at < len(html) and not chrome:
         parts.append(html[at:])
@@ -179,7 +200,6 @@ def _open_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     symbols = np.asarray(tokens, dtype=np.int64)
     symbols = np.where(symbols < 0, len(vocabulary) - symbols, symbols)
     signs = np.asarray(content, dtype=np.int64)
-    covered = np.zeros(len(symbols), dtype=bool)
     windows = []
     run = RUN
     rank = suffixes.depth_ranks(symbols, run)
@@ -189,8 +209,11 @@ def _open_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     least, most = np.minimum.reduceat(by, cut), np.maximum.reduceat(by, cut)
     repeated = np.zeros(len(symbols), dtype=bool)
     repeated[order] = np.repeat(least != most, np.diff(np.r_[cut, len(ranks)]))
-    for i in np.flatnonzero(repeated):
-        covered[i : i + run] = True
+    at = np.flatnonzero(repeated)
+    edge = np.zeros(len(symbols) + run + 1, dtype=np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + run, -1)
+    covered = np.cumsum(edge)[: len(symbols)] > 0
     hashes = np.array([hash_text(w) for w in vocabulary], dtype=np.uint64)
     factor = hashing.powers(np.uint64(0xA0761D6478BD642F | 1), run + 1)
     for row, sign, start, n in rows:
