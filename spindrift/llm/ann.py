@@ -128,22 +128,22 @@ def search(embeddings: DataFrame, every: int = 100, top: int = 20, stages: Stage
     lists = indexed.groupBy("dim", "list").agg(F.max("far").alias("radius"), F.count("*").alias("n"), F.count_if(asked).alias("own_queries"))
     rows = lists.collect()
     radius = {(r["dim"], r["list"]): r["radius"] for r in rows}
-    n_queries = sum(r["own_queries"] for r in rows)
-    blocks = lists.select("dim", "list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("own_queries") / QUERIES).cast("int").alias("own_parts"))
+    blocks = lists.select("dim", "list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = indexed.join(blocks, ["dim", "list"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     queries = indexed.where(asked).select(F.col("vec_id").alias("query_id"), "dim", "vec", "list")
     result = "query_id long, vec_id long, score double"
     key = ["dim", "list", "block", "part"]
 
-    def met(asking: DataFrame, parts) -> DataFrame:
-        """Queries (with list and floor) against the blocks of their lists."""
-        left = asking.toDF(*asking.columns).join(blocks, ["dim", "list"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.greatest(parts, F.lit(1))).cast("int"))
+    def met(asking: DataFrame, asked_lists: DataFrame) -> DataFrame:
+        """Queries (with list and floor) against the blocks of their lists; a list that ``n`` queries probe is met by as many parts as they fill."""
+        parts = asked_lists.select("dim", "list", F.ceil(F.col("n") / QUERIES).cast("int").alias("parts"))
+        left = asking.toDF(*asking.columns).join(blocks, ["dim", "list"]).join(parts, ["dim", "list"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
         left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("query_id", "vec", "floor", *key)
-        right = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).select("vec_id", "vec", "code", "scale", "length", *key)
+        right = members.join(parts, ["dim", "list"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("vec_id", "vec", "code", "scale", "length", *key)
         right = right.toDF(*[f"r_{c}" if c in key else c for c in right.columns])
         return left.groupBy(*key).cogroup(right.groupBy(*[f"r_{c}" for c in key])).applyInPandas(block_top(top), result)
 
-    first = stages.save(met(queries.withColumn("floor", F.lit(float("-inf"))), F.col("own_parts")), "first")
+    first = stages.save(met(queries.withColumn("floor", F.lit(float("-inf"))), lists.where("own_queries > 0").select("dim", "list", F.col("own_queries").alias("n"))), "first")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     floors = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == top).select("query_id", F.col("score").alias("floor"))
 
@@ -165,8 +165,8 @@ def search(embeddings: DataFrame, every: int = 100, top: int = 20, stages: Stage
                 )
 
     wider = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    wider = wider.mapInArrow(probes, "query_id long, dim int, vec binary, list int, floor double")
-    second = met(wider, F.lit(max(1, -(-n_queries // QUERIES))))
+    wider = stages.save(wider.mapInArrow(probes, "query_id long, dim int, vec binary, list int, floor double"), "wider")
+    second = met(wider, wider.groupBy("dim", "list").agg(F.count("*").alias("n")))
     found = reduce(DataFrame.union, [first, second])
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "score")
