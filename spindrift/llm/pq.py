@@ -32,6 +32,8 @@ from spindrift.sources.stage import Stages
 SAMPLE, SEED = 8192, 17
 SUBSPACES, WORDS = 8, 64
 BLOCK = 1024
+#: Rows whose distances to all centres are held at once.
+CHUNK = 512
 
 
 class Codebook:
@@ -132,17 +134,18 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98, label: str = "la
     def index(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            for d in np.unique(dims):
-                part = batch.take(pa.array(np.flatnonzero(dims == d)))
+            for part, d in [(batch.take(pa.array(rows[a : a + CHUNK])), d) for d in np.unique(dims) for rows in [np.flatnonzero(dims == d)] for a in range(0, len(rows), CHUNK)]:
                 book = shared.value[int(d)]
                 x = vectors.matrix(part.column("vec").to_pylist(), int(d))
                 unit = x / np.linalg.norm(x, axis=1)[:, None]
                 own, square = vectors.nearest(unit, book.centres)
                 codes, errors = book.encode(unit, own)
                 # Distance to the plane between the own centre and each other one.
-                apart = np.linalg.norm(book.centres[own][:, None, :] - book.centres[None, :, :], axis=2)
+                homes, home = np.unique(own, return_inverse=True)
+                lengths = (book.centres**2).sum(axis=1)
+                apart = np.sqrt(np.maximum(lengths[homes][:, None] + lengths[None, :] - 2 * book.centres[homes] @ book.centres.T, 0))[home]
                 beyond = (square - square[np.arange(len(x)), own][:, None]) / np.maximum(2 * apart, 1e-12)
-                probe = beyond <= reach + 1e-7
+                probe = (beyond <= reach + 1e-6) | (apart < 1e-3)
                 probe[np.arange(len(x)), own] = True
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in ("vec_id", "dim", "vec", "label")]
