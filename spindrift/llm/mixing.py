@@ -3,8 +3,9 @@
 DataFrame operations only.  Documents are hashed into at most ``BLOCKS`` blocks a source (a hot
 source is spread over its blocks, never ordered as a whole).  A source's quota is a number of
 block draws: every full pass over the source draws each of its blocks once, and the rest of the
-target draws blocks in permuted order up to the one in which the target falls; that one is
-resolved document by document.  A binary tree deals the draws to the output shards: at each node
+target draws blocks in permuted order up to the one in which the target falls.  That one is cut
+into blocks again, drawn in the same way, and only the inner block in which the target falls (a
+65,536th part of a large source) is resolved document by document.  A binary tree deals the draws to the output shards: at each node
 a uniformly random half of the node's draws goes left, so that the sources' counts on the left
 follow the multivariate hypergeometric law and quotas stay exact.  Rows of a shard are ordered
 by a hash (the local shuffle).
@@ -112,12 +113,25 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep
     blocks = blocks.alias("b").join(shards.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source")) & (F.col("b.block") == F.col("s.block")), "left").select("b.source", "b.block", "b.whole", "b.edge", "b.need", "b.rest", "s.shards")
     blocks = stages.save(blocks, "blocks")
 
-    # Documents of the boundary blocks: fit as many as the rest holds, then smaller ones into what is
-    # left; once in permuted order and once from the longest down, for where a long one is in the way.
+    # Boundary blocks are cut and drawn in the same way once more.
     edge = blocks.where("edge").select("source", "block", "need")
     inner = docs.alias("d").join(edge.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.block") == F.col("e.block"))).select("d.source", "d.block", "d.target", "d.h", "d.size", "e.need")
     # Rows that repeat (same id and text) share one decision.
-    inner = inner.groupBy("source", "block", "target", "h", "need").agg(F.sum("size").alias("size")).withColumn("got", F.lit(False))
+    inner = inner.groupBy("source", "block", "target", "h", "need").agg(F.sum("size").alias("size"))
+    inner = stages.save(inner, "edge")
+    cuts = inner.groupBy("source", "block").agg(F.least(F.lit(BLOCKS), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("cuts"))
+    inner = inner.alias("i").join(cuts.alias("c"), F.col("i.source").eqNullSafe(F.col("c.source")) & (F.col("i.block") == F.col("c.block"))).select("i.*", F.pmod(_hash(F.col("i.h"), SEED, "cut"), F.col("c.cuts")).alias("cut"))
+    parts = inner.groupBy("source", "block", "cut").agg(F.sum("size").alias("part_size"), F.first("need").alias("need"))
+    permuted = Window.partitionBy("source", "block").orderBy(_hash(F.col("source"), F.col("block"), F.col("cut"), SEED), "cut")
+    parts = parts.withColumn("through", F.sum("part_size").over(permuted.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.select("source", "block", "cut", (F.col("through") <= F.col("need")).alias("all"), (F.col("need") - F.col("through") + F.col("part_size")).alias("left"))
+    inner = inner.drop("need").alias("i").join(parts.alias("p"), F.col("i.source").eqNullSafe(F.col("p.source")) & (F.col("i.block") == F.col("p.block")) & (F.col("i.cut") == F.col("p.cut")))
+    inner = inner.select("i.source", "i.block", "i.target", "i.h", "i.size", "p.all", F.col("p.left").alias("need"))
+    taken = inner.where("all and size > 0").select("source", "block", "h", F.lit(1).alias("extra"))
+
+    # Documents of the inner boundary blocks: fit as many as the rest holds, then smaller ones into what is
+    # left; once in permuted order and once from the longest down, for where a long one is in the way.
+    inner = inner.where("not all and need > 0").drop("all").withColumn("got", F.lit(False))
     inner = inner.withColumn("way", F.explode(F.array(F.lit(0), F.lit(1))))
     cell = Window.partitionBy("source", "block", "way")
     for turn in range(4):
@@ -129,7 +143,7 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep
         inner = inner.withColumn("got", F.col("got") | F.col("now"))
     miss = F.struct(F.floor(F.col("need") / (F.col("target") * 0.005)).alias("miss"), F.col("way"))
     inner = inner.withColumn("best", F.min(miss).over(Window.partitionBy("source", "block")))
-    inner = inner.where("way = best.way and got and size > 0").select("source", "block", "h", F.lit(1).alias("extra"))
+    inner = inner.where("way = best.way and got and size > 0").select("source", "block", "h", F.lit(1).alias("extra")).union(taken)
 
     out = docs.alias("d").join(blocks.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
     out = out.select("d.*", "b.whole", F.col("b.rest").alias("rest_b"), "b.shards")
@@ -149,8 +163,9 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep
 
 def draw_rows(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The mix itself: each document as often as it is taken, shard by shard, shuffled within a shard."""
-    cols = documents.columns
-    mixed = mix_sources(documents, weights, keep=tuple(c for c in cols if c != "doc_id"))
+    # The row goes along as one column, so no name of its columns can clash.
+    packed = documents.select("doc_id", "source", "text", F.struct(*documents.columns).alias("kept_"))
+    mixed = mix_sources(packed, weights, keep=("kept_",))
     rows = mixed.where("copies > 0").withColumn("shard_", F.explode("shards"))
     place = _hash(F.col("doc_id"), F.col("shard_"), SEED)
-    return rows.repartition("shard_", place).sortWithinPartitions("shard_", place).select(*cols)
+    return rows.repartition("shard_", place).sortWithinPartitions("shard_", place).select("kept_.*")

@@ -278,6 +278,8 @@ def decode(pieces: Pieces, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 def encode_documents(documents: DataFrame, pieces: Pieces | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep``, then n_tokens, ids, text_sha256 (of the decoded text) and round_trip (it is the text, U+2581 read as a space)."""
+    if clash := {"n_tokens", "ids", "text_sha256", "round_trip"} & set(keep):
+        raise ValueError(f"keep names output columns: {sorted(clash)}")
     shared = documents.sparkSession.sparkContext.broadcast(pieces or load_pieces())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

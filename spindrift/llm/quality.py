@@ -199,7 +199,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
 
 
 def score_documents(documents: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, then the columns in ``keep``."""
+    """One row per document: doc_id, held_out, score, predicted, then the columns in ``keep`` (one of these names there is an error)."""
+    if clash := {"doc_id", "held_out", "score", "predicted"} & set(keep):
+        raise ValueError(f"keep names output columns: {sorted(clash)}")
     shared = documents.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.slope, model.shift))
     names = ["doc_id", *keep]
 

@@ -81,6 +81,8 @@ def scan_secrets(documents: DataFrame, keep: tuple[str, ...] = (), stages: Stage
 
     ``n_live`` counts those of ``spans`` whose value few owners and few documents hold.
     """
+    if clash := {"doc_id", "n_assign", "n_access", "n_hex", "base", "spans", "n_live"} & set(keep):
+        raise ValueError(f"keep names output columns: {sorted(clash)}")
     stages = stages or Stages(documents.sparkSession, "secrets")
     text = F.coalesce(F.col("text"), F.lit(""))
     wide = F.filter(spans_of(F.col("t"), WIDE, 3), lambda s: _random_looking(s["value"]))

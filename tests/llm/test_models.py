@@ -9,8 +9,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from spindrift.llm import ann, brown, pieces, pq, quality
+from spindrift.llm import ann, brown, hashing, pieces, pq, quality
 
 EMBEDDINGS = "vec_id long, embedding array<double>, label int"
 
@@ -131,6 +132,45 @@ def test_quality_on_held_out_rows(spark, sf_dir):
     assert sum(a == b for a, b in held) / len(held) >= 0.97
 
 
+def plain_indicators(text):
+    """The n-grams of a text one by one: three bytes, and one to three word shapes."""
+    data, mask, out = (text or "").encode(), (1 << 64) - 1, set()
+    for i in range(len(data) - 2):
+        out.add((int.from_bytes(data[i : i + 3], "big") * 0x9E3779B97F4A7C15 & mask) >> (64 - quality.BITS))
+    lower = bytes(b + 32 if 65 <= b < 91 else b for b in data)
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    kind = lambda b: 1 if 65 <= b < 91 else 2 if 48 <= b < 58 else 3 if 33 <= b < 127 and not 97 <= b < 123 else 0
+    shapes = []
+    for n, (a, b) in enumerate(words):
+        upper, digit, punct = (min(3, sum(kind(x) == k for x in data[a:b])) for k in (1, 2, 3))
+        same = int(n > 0 and lower[a:b] == lower[slice(*words[n - 1])])
+        shapes.append(((((upper * 4 + digit) * 4 + punct) * 6 + min(5, int(math.log2(b - a + 1)))) * 2 + same) * 4 + kind(data[b - 1]) + 1)
+    mix = lambda x: int(hashing.mix(np.array([x & mask], dtype=np.uint64))[0])
+    for width in (1, 2, 3):
+        for i in range(len(shapes) - width + 1):
+            code = width
+            for j in range(width):
+                code = mix(code + shapes[i + j])
+            out.add(code >> (64 - quality.BITS))
+    return sorted(out)
+
+
+def test_quality_scores_equal_brute_force(spark):
+    texts = ["Good plain words here, again and again.", "BUY!!! 777 $$$ now now now", "", None, "é ñ", "a", "ab", "  x  ", "one\ntwo\tthree 4.5 (six)", "long " * 3000 + "END"]
+    docs = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % len(texts) != 1)) for i in range(100)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, model).collect()}
+    weights = model.weights.astype(np.float32)
+    for i, text in enumerate(texts):
+        grams = plain_indicators(text)
+        margin = (sum(float(weights[g]) for g in grams) / math.sqrt(len(grams)) if grams else 0.0) + model.bias
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(model.slope * margin + model.shift))), abs=1e-4), text
+    assert got[1] < 0.3 < got[0]
+    with pytest.raises(ValueError, match="score"):
+        quality.score_documents(docs.withColumn("score", F.lit(1)), model, keep=("score",))
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -218,6 +258,27 @@ def test_exchange_finds_two_classes():
     assert len(set(classes[:4].tolist())) == 1 and len(set(classes[4:].tolist())) == 1 and classes[0] != classes[4]
 
 
+def test_pipeline_stages_take_odd_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    rows = [(1, "a b c d e f token=abcdef12", "s"), (2, "a b c d e f token=abcdef12", "s"), (2, "a b c d e f token=abcdef12", "s"), (3, None, None), (4, "", "s"), (None, "x y z", "s"), (5, "y " * 30_000, "t"), (5, "other text", "t")]
+    names = ("size", "score", "ids", "kept_", "row", "spans", "h", "text_", "comp")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    out, none = docs, docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, out, sf_dir).cache(), stage(spark, none, sf_dir)
+        assert none.count() == 0
+        if name == "near_dedup":
+            # One of each group of copies, one of rows that repeat; no id, no text and texts of one id stay.
+            assert sorted(((-1 if r.doc_id is None else r.doc_id) for r in out.collect())) == [-1, 1, 3, 4, 5, 5]
+        if name == "secrets":
+            assert {r.text for r in out.where("doc_id = 1").collect()} == {"a b c d e f [secret]"}
+        if name != "encode":
+            assert out.columns == docs.columns and out.where("comp <> 'own comp' or kept_ <> 'own kept_' or size <> 'own size'").count() == 0
+    assert out.where("not round_trip").count() == 0 and dict(out.dtypes)["ids"] == "array<int>"
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 

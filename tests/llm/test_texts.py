@@ -179,6 +179,22 @@ def test_ownership_tells_examples_from_credentials(spark):
     assert secrets.scan_secrets(clean.limit(0)).count() == 0
 
 
+def test_ownership_equals_sql_where_values_are_copied(spark):
+    import duckdb
+
+    from spindrift.llm import oracles
+
+    live, example = "ghp_R4nd0mL00kingV4lue9x", "sk_example_0123456789Abc"
+    texts = [f"use {live} and token={live}", *[f"see {example} here {i}" for i in range(12)], *[f"{'0123456789abcdef' * 2} x{i}" for i in range(10)], None, ""]
+    df = documents(spark, texts, {i: f"s{i % 2}" for i in range(len(texts))})
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = con.execute(f"SELECT doc_id, n_assign, n_access, n_hex, spans, n_live FROM ({oracles.OP9})").fetchall()
+    got = secrets.scan_secrets(df).select("doc_id", "n_assign", "n_access", "n_hex", secrets.joined(F.col("spans")).alias("spans"), "n_live").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {r.doc_id: r.n_live for r in got}[0] == 2 and not any(r.n_live for r in got if r.doc_id)
+
+
 def test_values_in_many_documents_of_one_owner_are_examples(spark):
     live, example = "ghp_R4nd0mL00kingV4lue9x", "sk_example_0123456789Abc"
     most = secrets.EXAMPLE_REPOSITORIES
@@ -225,6 +241,22 @@ def test_mixing(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_boundary_blocks_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 8)
+    rnd = random.Random(4)
+    texts = [" ".join("w" for _ in range(rnd.choice((0, 1, 5, 20, 60)))) + f" x{i}" for i in range(1500)]
+    sources = {i: ("A" if i < 1000 else rnd.choice("BC")) for i in range(len(texts))}
+    rows = mixing.mix_sources(documents(spark, texts, sources), keep=("source",)).collect()
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in rows:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        assert r.taken % r.size == 0 and r.taken <= 3 * r.size
+    want = brute_targets(dict(sizes))
+    assert all(abs(taken[s] - want[s]) <= max(0.01 * want[s], 30) for s in want), (dict(taken), want)
+
+
 def test_split_is_exact(spark):
     draws = spark.range(1000).select(F.col("id").alias("key"), (F.col("id") % 3).alias("source"))
     sizes = [r["count"] for r in mixing.split_draws(draws, 3).groupBy("shard").count().collect()]
@@ -277,6 +309,45 @@ def test_repeated_runs_do_not_depend_on_shards(spark, monkeypatch):
     assert got == {i: own(i) for i in range(39)}
 
 
+def test_repeated_runs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pages, "SHARD", 8)
+    rnd = random.Random(9)
+    phrases = [[f"p{k}w{j}" for j in range(rnd.randint(3, 14))] for k in range(12)]
+    made = {}
+    for i in range(60):
+        own = [[f"o{i}x{b}x{j}" for j in range(rnd.randint(1, 20))] for b in range(3)]
+        made[i] = [*own, *[rnd.choice(phrases) for _ in range(rnd.randint(0, 5))], *([own[0]] if i % 7 == 0 else [])]
+        rnd.shuffle(made[i])
+    made[60] = made[5]
+    html = lambda blocks: "<body>" + "".join(f"<p>{' '.join(b)}</p>" for b in blocks) + "</body>"
+    got = extracted(spark, [(i, f"http://h{i % 2}/x", html(b)) for i, b in made.items()])
+    for host in (0, 1):
+        on = {i: b for i, b in made.items() if i % 2 == host}
+        signs, stream = {i: max((" ".join(x) for x in b), key=len) for i, b in on.items()}, {i: [w for x in b for w in x] for i, b in on.items()}
+        seen = defaultdict(set)
+        for i, t in stream.items():
+            for s in range(len(t) - pages.RUN + 1):
+                seen[tuple(t[s : s + pages.RUN])].add(signs[i])
+        for i, t in stream.items():
+            gone = {j for s in range(len(t) - pages.RUN + 1) if len(seen[tuple(t[s : s + pages.RUN])]) > 1 for j in range(s, s + pages.RUN)}
+            at, lines = 0, []
+            for x in on[i]:
+                lines.append(" ".join(w for j, w in enumerate(x, at) if j not in gone))
+                at += len(x)
+            assert got[i] == "\n".join(x for x in lines if x), i
+
+
+def test_class_words_do_not_outweigh_an_article(spark):
+    got = extracted(spark, [
+        (1, "http://a/", '<main><div class="post-with-side"><p>kept</p></div></main>'),
+        (2, "http://b/", '<div class="share-story"><article><p>kept</p></article></div><div class="share">x</div>'),
+        (3, "http://c/", '<article><p class="legal">kept law</p><div class="share-buttons">no</div><div class="comments"><p>no</p></div></article>'),
+        (4, "http://d/", '<ol class="comment-list"><article class="comment-body"><p>no</p></article></ol><article><p>yes</p></article>'),
+        (5, "http://e/", '<div class="sidebar"><p>no</p><article><p>yes</p><div class="newsletter-box">no</div></article><p>no</p></div><p>open</p>'),
+    ])
+    assert got == {1: "kept", 2: "kept", 3: "kept law", 4: "yes", 5: "yes\nopen"}
+
+
 def test_repeated_runs_cover_several_short_blocks(spark):
     menu = "".join(f"<li>item {k}</li>" for k in range(6))
     own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
