@@ -6,7 +6,8 @@ the columns of ``documents``; the last one adds the tokens.
 Edge cases, alike in all stages: an empty table gives no rows; a null or white text is an empty text
 (the classifier decides on it by its bias alone, no document is its copy, it has no secrets, size 0
 and no tokens); rows with a null doc_id are documents of their own and no copies; a null source is
-a source of its own, the last one; other columns of the input go on with their row.
+a source of its own, the last one; other columns of the input, whatever their names, go on with
+their row (in the last stage, one that is named as a column of the tokens gives way to it).
 """
 
 from __future__ import annotations
@@ -20,11 +21,15 @@ from spindrift.sources.stage import Stages
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """What operators read, and the whole row as one column, so that no name of its columns can clash."""
+    return docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("kept_"))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.score_documents(docs, model, keep=others).where("predicted = 1").select(*docs.columns)
+    return quality.score_documents(packed(docs), model, keep=("kept_",)).where("predicted = 1").select("kept_.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +48,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of the secret scan is replaced by a mark; no document goes."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    found = secrets.scan_secrets(docs, keep=others)
-    clean = secrets.redact(F.col("text"), F.col("spans"))
-    out = found.withColumn("clean", clean).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars")))
-    return out.drop("text").withColumnRenamed("clean", "text").select(*docs.columns)
+    found = secrets.scan_secrets(packed(docs), keep=("kept_",))
+    found = found.select("kept_", F.size("spans").alias("n_spans_"), secrets.redact(F.col("kept_.text"), F.col("spans")).alias("clean_"))
+    n_chars = F.when(F.col("n_spans_") > 0, F.length("clean_").cast("long")).otherwise(F.col("kept_.n_chars"))
+    anew = {"text": F.col("clean_"), "n_chars": n_chars}
+    return found.select(*[anew.get(c, F.col(f"kept_.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +62,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their SentencePiece tokens."""
-    return pieces.encode_documents(docs, keep=tuple(docs.columns)).drop("text_sha256")
+    tokens = ("n_tokens", "ids", "round_trip")
+    out = pieces.encode_documents(packed(docs), keep=("kept_",))
+    return out.select(*[F.col(f"kept_.`{c}`").alias(c) for c in docs.columns if c not in tokens], *tokens)
 
 
 STAGES = [("quality", quality_filter), ("near_dedup", near_dedup), ("secrets", secret_scan), ("mix", mix_sources), ("encode", encode)]
