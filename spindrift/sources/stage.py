@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,7 +38,13 @@ class Stages:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        # Small Arrow batches bound what executors hold outside of their heap and in their Python workers.
+        before = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, before)
         out = self.spark.read.schema(schema).parquet(path)
         out._stage_path = path
         del df
