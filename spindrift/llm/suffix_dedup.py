@@ -17,7 +17,7 @@ an anchor occurrence.  Of these runs only hashes are shuffled:
 
 The same is done over words in place of bytes for ``passages``: the words of a text that strings of
 so many words cover which come again.  A passage of over 50 words may have under LENGTH bytes (half
-of such strings have 319 or less in the given tables); it is counted there and not removed.
+of such strings have 321 or less in `check_s`); it is counted there and not removed.
 
 ``keep_first`` removes later copies only (first by doc_id, then by the text's hash, then by place);
 else every copy goes.
