@@ -83,6 +83,13 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id_are_one_node(spark):
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(60))
+    df = spark.createDataFrame([(5, x), (5, y), (6, y), (7, y), (8, y + " z"), (9, "other")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(5, 36, 5, True), (5, 56, 5, True), (6, 56, 5, False), (7, 56, 5, False), (8, 57, 5, False), (9, 1, 9, True)]
+
+
 def brute_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     counts = Counter(t[s : s + length] for t in data for s in range(len(t) - length + 1))
