@@ -31,7 +31,14 @@ def collapse(text: Column) -> Column:
 
 
 def without_boilerplate(text: Column) -> Column:
-    return F.regexp_replace(text, BOILERPLATE_PATTERN, " ")
+    """Texts that hold no phrase's fixed part (letters that have one lower case only) skip the pattern."""
+    low = F.lower(text)
+    return F.when(low.contains("antec") | low.contains("produto"), F.regexp_replace(text, BOILERPLATE_PATTERN, " ")).otherwise(text)
+
+
+def without_urls(text: Column, url: str) -> Column:
+    """``url`` is one of the two patterns above; texts without http or www. skip it."""
+    return F.when(text.contains("http") | text.contains("www."), F.regexp_replace(text, "(?U)" + url, " ")).otherwise(text)
 
 
 def _fold(text: pd.Series) -> pd.Series:
@@ -46,9 +53,7 @@ def fold_ascii(text: Column) -> Column:
 def clean_for_detection(text: Column) -> Column:
     """Cut to the detector's length, then letters only: no URLs, boilerplate, punctuation, digits or underscores."""
     out = F.coalesce(F.substring(text, 1, DETECT_CHARS), F.lit(""))
-    out = without_boilerplate(F.regexp_replace(out, "(?U)" + URL_WIDE, " "))
-    out = F.regexp_replace(out, r"(?U)[^\p{L}\p{N}_\s]", " ")
-    return strip(collapse(F.regexp_replace(out, "[0-9_]+", " ")))
+    return F.trim(F.regexp_replace(without_boilerplate(without_urls(out, URL_WIDE)), r"[[^\p{L}\p{N}][0-9]]+", " "))
 
 
 def long_enough(cleaned: Column, least: int = DETECT_LEAST) -> Column:
@@ -67,13 +72,12 @@ def clean_for_examples(text: Column) -> Column:
 
 def clean_light(text: Column) -> Column:
     """For encoders: no URLs or boilerplate; case and accents stay."""
-    return strip(collapse(without_boilerplate(F.regexp_replace(text, "(?U)" + URL_STRICT, " "))))
+    return strip(collapse(without_boilerplate(without_urls(text, URL_STRICT))))
 
 
 def clean_terms(text: Column, url: str = URL_STRICT) -> Column:
     """For topics and term weights: lower case, a-z only."""
-    out = without_boilerplate(F.regexp_replace(F.lower(text), "(?U)" + url, " "))
-    return strip(collapse(F.regexp_replace(fold_ascii(out), r"(?U)[^a-z\s]", " ")))
+    return F.trim(F.regexp_replace(fold_ascii(without_boilerplate(without_urls(F.lower(text), url))), "[^a-z]+", " "))
 
 
 def art_chars(text: Column) -> Column:

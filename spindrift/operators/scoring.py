@@ -30,13 +30,20 @@ COMMON = {
 
 def common_word_detector(texts: pd.Series) -> pd.DataFrame:
     """(lang, confidence): the language whose frequent words are the largest share of the words."""
-    sets = {k: set(v) for k, v in COMMON.items()}
-    rows = []
+    names = sorted(COMMON)
+    tongues: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        for w in set(COMMON[name]):
+            tongues.setdefault(w, []).append(i)
+    frequent, rows = tongues.__contains__, []
     for t in texts:
         words = t.lower().split()
-        share = {k: sum(w in s for w in words) / len(words) for k, s in sets.items()} if words else {}
-        best = max(sorted(share), key=lambda k: share[k], default=None)
-        rows.append((best, float(share[best])) if best and share[best] > 0 else (masks.UNDETERMINED, 0.0))
+        n = [0] * len(names)
+        for w in filter(frequent, words):
+            for i in tongues[w]:
+                n[i] += 1
+        most = max(n)
+        rows.append((names[n.index(most)], most / len(words)) if most else (masks.UNDETERMINED, 0.0))
     return pd.DataFrame(rows, columns=["lang", "confidence"])
 
 
