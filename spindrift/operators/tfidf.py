@@ -6,18 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text
+from spindrift.sources.stage import Stages
 
 # Fixed values.
 MIN_DF, MAX_DF, MAX_FEATURES, EPSILON = 100, 0.8, 100_000, 1e-9
 LEXICON = {"term": "termo", "tfidf_a": "tfidf_toxico", "tfidf_b": "tfidf_neutro", "difference": "diferenca", "ratio": "proporcao_toxico_neutro", "log_ratio": "log_ratio"}
+#: Terms that are sent to every task, at most.
+SENT = 1 << 18
 
 
-def term_counts(docs: DataFrame, key: str, cleaned: str, stop: list[str] | None = None) -> DataFrame:
-    """(key, term, tf): terms of two characters or more that are no stop words."""
-    words = docs.select(key, F.explode(text.tokens(F.col(cleaned))).alias("term")).where(F.length("term") >= 2)
+def term_counts(docs: DataFrame, key: str, cleaned: str, stop: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, term, tf): terms of two characters or more that are no stop words.
+
+    Texts are dealt by key, so that their terms are counted where they are cut.
+    """
+    dealt = docs.select(key, *keep, cleaned).repartition(key)
+    words = dealt.select(key, *keep, F.explode(text.tokens(F.col(cleaned))).alias("term")).where(F.length("term") >= 2)
     if stop:
         words = words.where(~F.col("term").isin(*stop))
-    return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return words.groupBy(key, *keep, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n_docs: int, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -27,24 +34,30 @@ def vocabulary(counts: DataFrame, n_docs: int, min_df: int = MIN_DF, max_df: flo
     return terms.select("term", "df", (F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def weights(counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """(key, term, w): tf * idf, each document scaled to length 1 over its terms in the vocabulary."""
-    raw = counts.join(terms.select("term", "idf"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+def weights(counts: DataFrame, terms: DataFrame, n_terms: int, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, term, w): tf * idf, each document scaled to length 1 over its terms in the vocabulary.
+
+    A vocabulary of at most SENT terms is sent to the tasks, so that only counts of its terms are shuffled, once.
+    """
+    idf = terms.select("term", "idf")
+    raw = counts.join(F.broadcast(idf) if n_terms <= SENT else idf, "term").select(key, *keep, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.withColumn("w", F.col("w") / norm)
 
 
-def group_means(docs: DataFrame, key: str, group: str, weighted: DataFrame) -> DataFrame:
+def group_means(sizes: DataFrame, group: str, weighted: DataFrame) -> DataFrame:
     """(group, term, mean): sums over a group's documents by the number of all its documents."""
-    sizes = docs.groupBy(group).agg(F.count("*").alias("n_docs"))
-    sums = weighted.join(docs.select(key, group), key).groupBy(group, "term").agg(F.sum("w").alias("s"))
+    sums = weighted.groupBy(group, "term").agg(F.sum("w").alias("s"))
     return sums.join(F.broadcast(sizes), group).select(group, "term", (F.col("s") / F.col("n_docs")).alias("mean"))
 
 
 def fit_group_means(docs: DataFrame, key: str, cleaned: str, group: str, stop: list[str] | None = None, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES) -> DataFrame:
-    counts = term_counts(docs, key, cleaned, stop)
-    terms = vocabulary(counts, docs.count(), min_df, max_df, max_features)
-    return group_means(docs, key, group, weights(counts, terms, key))
+    """Counts and vocabulary are tables, so texts are cut into terms once and the vocabulary's size is known."""
+    stages = Stages(docs.sparkSession, "tfidf")
+    sizes = docs.groupBy(group).agg(F.count("*").alias("n_docs"))
+    counts = stages.save(term_counts(docs, key, cleaned, stop, (group,)), "counts")
+    terms = stages.save(vocabulary(counts, docs.count(), min_df, max_df, max_features), "terms")
+    return group_means(sizes, group, weights(counts, terms, terms.count(), key, (group,)))
 
 
 def _pivot(means: DataFrame, group: str, names: dict[str, object]) -> DataFrame:
