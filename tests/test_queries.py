@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from spindrift.plans import steps  # noqa: F401 (registers its queries)
 from spindrift.plans.queries import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
