@@ -27,10 +27,11 @@ def term_counts(docs: DataFrame, key: str, cleaned: str, stop: list[str] | None
     return words.groupBy(key, *keep, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, n_docs: int, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES) -> DataFrame:
-    """(term, df, idf); the most frequent by total count where there are more than ``max_features``."""
+def vocabulary(counts: DataFrame, n_docs: int, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int | None = MAX_FEATURES) -> DataFrame:
+    """(term, df, idf); the most frequent by total count where there are more than ``max_features`` (None: all)."""
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    terms = terms.orderBy(F.desc("total"), "term").limit(max_features)
+    if max_features is not None:
+        terms = terms.orderBy(F.desc("total"), "term").limit(max_features)
     return terms.select("term", "df", (F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
@@ -51,7 +52,7 @@ def group_means(sizes: DataFrame, group: str, weighted: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(sizes), group).select(group, "term", (F.col("s") / F.col("n_docs")).alias("mean"))
 
 
-def fit_group_means(docs: DataFrame, key: str, cleaned: str, group: str, stop: list[str] | None = None, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES) -> DataFrame:
+def fit_group_means(docs: DataFrame, key: str, cleaned: str, group: str, stop: list[str] | None = None, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int | None = MAX_FEATURES) -> DataFrame:
     """Counts and vocabulary are tables, so texts are cut into terms once and the vocabulary's size is known."""
     stages = Stages(docs.sparkSession, "tfidf")
     sizes = docs.groupBy(group).agg(F.count("*").alias("n_docs"))

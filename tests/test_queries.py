@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from spindrift.plans import steps  # noqa: F401 (registers its queries)
-from spindrift.plans.queries import ORACLE, QUERIES
+from spindrift.plans.queries import _TERM_DOCS, ORACLE, QUERIES, REVIEWS
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -103,3 +103,32 @@ def test_entry_without_the_training_data_queries(tmp_path):
             shutil.copy(root / "corpus_pipeline.py", tmp_path)
         ran = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
         assert ran.stdout.split() == [str(len(QUERIES)), "False"], ran.stderr
+
+
+@pytest.fixture(scope="module")
+def many_terms(tmp_path_factory):
+    """16 English documents with 100,100 terms in five of them each, and 12 terms in those only that both scores call toxic."""
+    con = duckdb.connect()
+    con.execute("create table documents as select range doc_id, 'en' lang, '' as text from range(5000)")
+    docs = con.execute(f"""with {REVIEWS}, {_TERM_DOCS} select coalesce(region, 'none'), list(doc_id order by doc_id)[:4] from docs join reviews using (review_url) group by 1 order by 1""").fetchall()
+    ids = [i for _, four in docs for i in four]
+    assert [r for r, _ in docs] == ["both", "detoxify_only", "none", "perspective_only"] and len(ids) == 16
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["x" + "".join(letters[n // 26**k % 26] for k in range(4)) for n in range(100_100)]
+    texts = {i: [w for n, w in enumerate(words) if (n - 3 * k) % 16 < 5] for k, i in enumerate(ids)}
+    for i in dict(docs)["both"]:
+        texts[i] += [f"zz{c}" for c in letters[:12]]
+    sf = tmp_path_factory.mktemp("many-terms")
+    con.execute("create table d (doc_id bigint, text varchar, lang varchar)")
+    con.executemany("insert into d values (?, ?, 'en')", [[i, " ".join(t)] for i, t in texts.items()])
+    con.execute(f"copy d to '{sf}/documents.parquet'")
+    return str(sf)
+
+
+@pytest.mark.parametrize("name", ["q24_tfidf_lexicon", "q26_top_terms"])
+def test_no_term_is_cut(spark, many_terms, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{many_terms}/documents.parquet'")
+    cur = con.execute(ORACLE[name])
+    names = [c[0] for c in cur.description]
+    assert plain(QUERIES[name](spark, many_terms).select(*names).collect()) == plain(cur.fetchall())
