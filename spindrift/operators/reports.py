@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import masks, text
+from spindrift.sources.tables import per_file
 
 TOTAL = "total"
 
@@ -114,8 +115,7 @@ def ascii_art(df: DataFrame, least_share: float = 0.5, least_chars: int = 20, li
     return out.limit(limit) if limit else out
 
 
-def cleaning_stats(df: DataFrame, kept, toxic, cleaned: str) -> DataFrame:
-    """Per input file: rows, excluded, toxic, empty after cleaning."""
-    return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(
-        F.count("*").alias("rows"), F.count_if(~kept).alias("excluded"), F.count_if(kept & toxic).alias("toxic"), F.count_if(kept & (F.coalesce(F.col(cleaned), F.lit("")) == "")).alias("empty")
-    )
+def cleaning_stats(df: DataFrame, kept, toxic, cleaned: str, folder: str | None = None) -> DataFrame:
+    """Per input file, or per entry of ``folder``: rows, excluded, toxic, empty after cleaning."""
+    empty = F.coalesce(F.col(cleaned), F.lit("")) == ""
+    return per_file(df, {"rows": F.count("*"), "excluded": F.count_if(~kept), "toxic": F.count_if(kept & toxic), "empty": F.count_if(kept & empty)}, folder)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, dataclass, replace
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +76,24 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(REVIEWS_SQL, documents=table(spark, sf_dir, "documents"))
 
 
+def per_file(df: DataFrame, counts: dict[str, Column], folder: str | None = None) -> DataFrame:
+    """(file, *counts) of the files that a scan reads, 0 for files without rows.
+
+    With ``folder``, of that folder's entries: a table that is kept as many part files is one of them.
+    """
+    at = -1
+    if folder is not None:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        root = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath()
+        at = len([p for p in root.split("/") if p])
+    store = r"^[^/:]+:(//[^/]*)?/+"
+    entries = sorted({re.sub(store, "", f).split("/")[at] for f in df.inputFiles()})
+    files = df.sparkSession.createDataFrame([(e, unquote(e)) for e in entries], "entry string, file string")
+    entry = F.element_at(F.split(F.regexp_replace("_metadata.file_path", store, ""), "/"), at if at < 0 else at + 1)
+    found = df.groupBy(entry.alias("entry")).agg(*[c.alias(n) for n, c in counts.items()])
+    return files.join(found, "entry", "left").select("file", *[F.coalesce(n, F.lit(0)).alias(n) for n in counts])
+
+
 def list_files(df: DataFrame) -> DataFrame:
     """(file, rows) of the files that a scan reads."""
     return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))

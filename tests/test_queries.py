@@ -132,3 +132,17 @@ def test_no_term_is_cut(spark, many_terms, name):
     cur = con.execute(ORACLE[name])
     names = [c[0] for c in cur.description]
     assert plain(QUERIES[name](spark, many_terms).select(*names).collect()) == plain(cur.fetchall())
+
+
+@pytest.mark.parametrize("name", ["q73_cleaning_stats"])
+@pytest.mark.parametrize("parts", [0, 1, 3])
+def test_part_files_are_one_table(spark, sf_dir, tmp_path, name, parts):
+    """In a folder whose path has characters that are escaped in a URI; without parts, a table of no rows."""
+    sf = tmp_path / "a b+c%20.parquet"
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    (df.repartition(parts) if parts else df.limit(0)).write.parquet(f"{sf}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet/*.parquet'")
+    cur = con.execute(ORACLE[name])
+    names = [c[0] for c in cur.description]
+    assert plain(QUERIES[name](spark, str(sf)).select(*names).collect()) == plain(cur.fetchall())
