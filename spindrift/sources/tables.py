@@ -94,9 +94,9 @@ def per_file(df: DataFrame, counts: dict[str, Column], folder: str | None = None
     return files.join(found, "entry", "left").select("file", *[F.coalesce(n, F.lit(0)).alias(n) for n in counts])
 
 
-def list_files(df: DataFrame) -> DataFrame:
-    """(file, rows) of the files that a scan reads."""
-    return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))
+def list_files(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """(file, rows) of the files that a scan reads, or of the entries of ``folder`` that they are or lie in."""
+    return per_file(df, {"rows": F.count("*")}, folder)
 
 
 def languages(df: DataFrame, column: str = "review_lang") -> DataFrame:

@@ -134,7 +134,7 @@ def test_no_term_is_cut(spark, many_terms, name):
     assert plain(QUERIES[name](spark, many_terms).select(*names).collect()) == plain(cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["q73_cleaning_stats"])
+@pytest.mark.parametrize("name", ["q73_cleaning_stats", "q74_list_files"])
 @pytest.mark.parametrize("parts", [0, 1, 3])
 def test_part_files_are_one_table(spark, sf_dir, tmp_path, name, parts):
     """In a folder whose path has characters that are escaped in a URI; without parts, a table of no rows."""
